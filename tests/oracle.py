@@ -1,0 +1,77 @@
+"""Runs every query and its SQL side by side: ``python tests/oracle.py [folder] [name ...]``."""
+
+from __future__ import annotations
+
+import math
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return con
+
+
+def plain(value: object) -> str:
+    if value is None or (isinstance(value, float) and math.isnan(value)):
+        return "NULL"
+    if isinstance(value, float):
+        return repr(value)
+    return str(value)
+
+
+def sorted_rows(columns: list[str], rows: list[tuple]) -> tuple[list[str], list[tuple]]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    texts = sorted(tuple(plain(r[i]) for i in order) for r in rows)
+    return [columns[i] for i in order], texts
+
+
+def difference(spark, folder: str, con, query, sql: str) -> str | None:
+    """None if both agree, otherwise what differs."""
+    df = query(spark, folder)
+    ours = sorted_rows(df.columns, [tuple(r) for r in df.collect()])
+    result = con.execute(sql)
+    theirs = sorted_rows([d[0] for d in result.description], result.fetchall())
+    if ours[0] != theirs[0]:
+        return f"columns {ours[0]} != {theirs[0]}"
+    if len(ours[1]) != len(theirs[1]):
+        return f"rows {len(ours[1])} != {len(theirs[1])}"
+    wrong = [(a, b) for a, b in zip(ours[1], theirs[1]) if a != b]
+    if wrong:
+        return f"{len(wrong)} of {len(ours[1])} rows differ, such as {wrong[0]}"
+    return "both empty" if not ours[1] else None
+
+
+def main() -> None:
+    import __spark_entry__ as entry
+    from conftest import session
+
+    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    spark, con = session(), connect(folder)
+    oracles = entry.oracle_sql()
+    for name, query in entry.queries().items():
+        if len(sys.argv) > 2 and name not in sys.argv[2:]:
+            continue
+        begin = time.time()
+        try:
+            found = difference(spark, folder, con, query, oracles[name])
+        except Exception as error:  # noqa: BLE001 - report and go on with the next query
+            found = f"{type(error).__name__}: {str(error)[:600]}"
+        print(f"{'ok  ' if found is None else 'FAIL'} {name} {time.time() - begin:.2f}s",
+              "" if found is None else found, flush=True)
+
+
+if __name__ == "__main__":
+    main()
