@@ -135,9 +135,7 @@ def generator_slice(spark: SparkSession, folder: str) -> DataFrame:
 )
 def plant_summary(spark: SparkSession, folder: str) -> DataFrame:
     units, records = generators(spark, folder), plants(spark, folder)
-    return op.plant_summary(
-        op.generator_slice(units, records), monthly(spark, folder), start_year=1996
-    )
+    return op.plant_summary(units, monthly(spark, folder), records, start_year=1996)
 
 
 @register(
@@ -210,7 +208,11 @@ def generator_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Months without a fuel lose their generator id, so that some generators lack data."""
     unit = F.when(F.col("fuel_type_code").isNotNull(), F.col("generator_id"))
     months = op.monthly_slice(monthly(spark, folder), LAST_YEAR, LAST_YEAR)
-    return op.generator_coverage(months.withColumn("generator_id", unit), _newest(spark, folder))
+    return op.generator_coverage(
+        months.withColumn("generator_id", unit),
+        generators(spark, folder),
+        op.newest_records(plants(spark, folder)),
+    )
 
 
 FACETS = ["technology_description", "prime_mover_code", "operational_status", "fuel_type_code"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import change
 from gridloom.operators import forecast as op
 from gridloom.plans.area import analyse_area
-from gridloom.plans.bias import BiasAnalysis, analyse_bias, realized_demand
+from gridloom.plans.bias import BiasAnalysis, realized_demand
 
 from .common import (
     DEMAND_SQL,
@@ -75,7 +75,7 @@ def _demand_and_forecast(spark: SparkSession, folder: str) -> tuple[DataFrame, D
 
 def _analysis(spark: SparkSession, folder: str, weighting: str = "total") -> BiasAnalysis:
     demand, forecast = _demand_and_forecast(spark, folder)
-    return analyse_bias(
+    return BiasAnalysis(
         forecast,
         demand,
         respondents(spark, folder),
@@ -196,11 +196,12 @@ MIN_SHOWN = 250_000
 AREA_SQL = f"""
 ranked AS (
   SELECT o_custkey AS id, o_orderdate AS day, o_orderkey AS k, o_totalprice AS a,
+    CAST(o_totalprice AS DECIMAL(18, 2)) AS exact,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS up,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS down
   FROM orders),
 changed AS (
-  SELECT id, lower(c_name) AS name, CAST(trunc(avg(a)) AS BIGINT) AS demand,
+  SELECT id, lower(c_name) AS name, CAST(trunc(avg(exact)) AS BIGINT) AS demand,
     max(CASE WHEN up = 1 THEN a END) AS first_area,
     max(CASE WHEN down = 1 THEN a END) AS last_area
   FROM ranked JOIN customer ON id = c_custkey GROUP BY id, c_name),
@@ -217,13 +218,15 @@ def _summary(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").alias("day"),
         F.col("o_orderkey").alias("k"),
         F.col("o_totalprice").alias("a"),
+        # Exact, so that a whole mean cannot fall just below itself before truncation.
+        F.col("o_totalprice").cast("decimal(18,2)").alias("exact"),
     )
 
 
 def _area(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     summary = _summary(spark, folder)
     return analyse_area(
-        summary, "id", "name", "a", "a", ["day", "k"], min_shown_demand=MIN_SHOWN
+        summary, "id", "name", "exact", "a", ["day", "k"], min_shown_demand=MIN_SHOWN
     )
 
 

@@ -228,11 +228,11 @@ def _statistics(spark: SparkSession, folder: str) -> DataFrame:
     "mean_var_long",
     f"""WITH {STATISTICS_SQL}
     SELECT ship_year, r_name, n_name, s_suppkey, gen_type,
-      round(average_capacity_factor, 6) AS average_capacity_factor,
-      round(average_variance, 6) AS average_variance FROM stats""",
+      round(average_capacity_factor, 9) AS average_capacity_factor,
+      round(average_variance, 9) AS average_variance FROM stats""",
 )
 def mean_var_long(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(_statistics(spark, folder))
+    return tidy(_statistics(spark, folder), 9)
 
 
 @register(
@@ -240,7 +240,7 @@ def mean_var_long(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {STATISTICS_SQL}
     SELECT ship_year, r_name, n_name, s_suppkey, gen_type,
       printf('%.2f', average_capacity_factor) AS average_text,
-      round(average_variance, 6) AS average_variance,
+      round(average_variance, 9) AS average_variance,
       coalesce(average_variance BETWEEN 5e-4 AND 200, false) AS in_range
     FROM stats WHERE gen_type IN ('discount', 'quantity')""",
 )
@@ -248,7 +248,7 @@ def scatter_points(spark: SparkSession, folder: str) -> DataFrame:
     points = op.scatter_points(_statistics(spark, folder), (5e-4, 200), ["discount", "quantity"])
     text = fixed("average_capacity_factor", 2).alias("average_text")
     columns = ["ship_year", "r_name", "n_name", "s_suppkey", "gen_type"]
-    return tidy(points.select(*columns, text, "average_variance", "in_range"))
+    return tidy(points.select(*columns, text, "average_variance", "in_range"), 9)
 
 
 @register(

@@ -217,6 +217,27 @@ def monthly_slice(
     return rows.where(year_range(date, first_year, last_year))
 
 
+def generator_rows(
+    generators: DataFrame,
+    drop: Sequence[str] = PLANT_LEVEL_COLUMNS,
+    plant: str = PLANT,
+    date: str = DATE,
+) -> DataFrame:
+    """Distinct generator rows without the columns that describe the plant."""
+    kept = [c for c in generators.columns if c not in set(drop) - {plant, date}]
+    return generators.select(*[named(c) for c in kept]).distinct()
+
+
+def at_records(
+    df: DataFrame, records: DataFrame | None, plant: str = PLANT, date: str = DATE
+) -> DataFrame:
+    """Rows whose plant and exact date match a plant record; all rows without records."""
+    if records is None:
+        return df
+    chosen = records.select(named(plant), named(date)).distinct()
+    return df.join(chosen, [plant, date], "left_semi")
+
+
 def generator_slice(
     generators: DataFrame,
     records: DataFrame,
@@ -224,11 +245,12 @@ def generator_slice(
     plant: str = PLANT,
     date: str = DATE,
 ) -> DataFrame:
-    """Distinct generator rows whose plant and exact date match a plant record."""
-    chosen = records.select(named(plant), named(date)).distinct()
-    kept = [c for c in generators.columns if c not in set(drop) - {plant, date}]
-    rows = generators.select(*[named(c) for c in kept])
-    return rows.join(chosen, [plant, date], "left_semi").distinct()
+    """Distinct generator rows of the given plant records.
+
+    Rows become distinct before they meet the records: spread over all their columns, not
+    gathered by plant.
+    """
+    return at_records(generator_rows(generators, drop, plant, date), records, plant, date)
 
 
 # Summary and cards ---------------------------------------------------------------------
@@ -237,7 +259,9 @@ def generator_slice(
 def plant_summary(
     generators: DataFrame,
     fuels: DataFrame,
+    records: DataFrame | None = None,
     start_year: int | None = None,
+    drop: Sequence[str] = PLANT_LEVEL_COLUMNS,
     plant: str = PLANT,
     date: str = DATE,
     fuel_type: str = "fuel_type_code",
@@ -247,8 +271,9 @@ def plant_summary(
 ) -> DataFrame:
     """Fuels, existing capacity, generator count, statuses and technologies of each record.
 
-    ``generators`` is a generator slice, ``fuels`` the monthly table by fuel. Fuels are
-    those of the months from the start year, or the first on record, to the record's year.
+    ``generators`` is the yearly table or a slice of it, ``fuels`` the monthly table by
+    fuel, ``records`` the plants and dates wanted. Fuels are those of the months from the
+    start year, or the first on record, to the record's year.
     """
     key = [plant, date]
     existing = F.when(named(status) == "existing", named(capacity))
@@ -267,14 +292,15 @@ def plant_summary(
     # Counted per value first, so that a plant arrives as a few rows however many
     # generators it has.
     counts = (
-        generators.select(*[named(k) for k in key], F.inline(sides))
+        generator_rows(generators, drop, plant, date)
+        .select(*[named(k) for k in key], F.inline(sides))
         .groupBy(*key, "side", "value")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("mw").alias("mw"))
     )
     is_status = F.col("side") == "status"
     known = F.col("value").isNotNull()
     entry = F.struct("value", "n")
-    records = counts.groupBy(*key).agg(
+    summary = counts.groupBy(*key).agg(
         F.bround(sum0("mw")).cast("long").alias("capacity_mw"),
         F.sum(F.when(is_status, F.col("n"))).alias("generators"),
         counted_values(F.collect_list(F.when(is_status & known, entry))).alias("status"),
@@ -293,7 +319,7 @@ def plant_summary(
     used = F.filter(
         F.coalesce("__fuels", F.array()), lambda f: f["since"] <= F.year(named(date))
     )
-    return records.join(by_plant, plant, "left").select(
+    return at_records(summary, records, plant, date).join(by_plant, plant, "left").select(
         *key,
         F.array_join(F.transform(used, lambda f: f["fuel"]), ", ").alias("fuel_types"),
         "capacity_mw",
@@ -354,12 +380,16 @@ def chart_title(
 def generator_coverage(
     monthly: DataFrame,
     generators: DataFrame,
+    records: DataFrame | None = None,
+    drop: Sequence[str] = PLANT_LEVEL_COLUMNS,
     plant: str = PLANT,
+    date: str = DATE,
     generator: str = GENERATOR,
 ) -> DataFrame:
     """Generators with monthly data beside generators on record, for plants with such data.
 
-    A missing generator id counts as one more generator. The message is null unless some
+    ``generators`` is the yearly table or a slice of it, ``records`` the one record wanted
+    of each plant. A missing generator id counts as one more generator. The message is null unless some
     generator lacks data.
     """
     seen = monthly.groupBy(named(plant)).agg(
@@ -368,7 +398,12 @@ def generator_coverage(
             + F.max(named(generator).isNull().cast("int")).cast("long")
         ).alias("n_with_data")
     )
-    recorded = generators.groupBy(named(plant)).agg(F.count(F.lit(1)).alias("n_on_record"))
+    recorded = (
+        generator_rows(generators, drop, plant, date)
+        .groupBy(named(plant), named(date))
+        .agg(F.count(F.lit(1)).alias("n_on_record"))
+    )
+    recorded = at_records(recorded, records, plant, date).drop(date)
     text = F.concat(
         F.lit("Generation data available for "), F.col("n_with_data").cast("string"),
         F.lit(" of "), F.col("n_on_record").cast("string"),
@@ -390,7 +425,7 @@ def facet_options(
     option, which is then chosen from the start.
     """
     keys = list(keys)
-    texts = generators.select(
+    texts = generators.dropna(subset=keys).select(
         *[named(k).alias(f"__key_{k}") for k in keys],
         *[named(f).cast("string").alias(f) for f in facets],
     ).unpivot([f"__key_{k}" for k in keys], list(facets), "facet", "value")
@@ -401,7 +436,10 @@ def facet_options(
     )
     sizes = (
         counts.groupBy(*keys, "facet")
-        .agg(F.count(F.lit(1)).alias("__options"), F.count("value").alias("__known"))
+        .agg(
+            F.count(F.lit(1)).alias("__options"),
+            F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("__known"),
+        )
         .where("__known > 0")
     )
     return counts.join(sizes, [*keys, "facet"]).select(

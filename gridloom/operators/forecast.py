@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,25 +71,30 @@ def peak_forecasts(
     )
 
 
-def with_names(
-    forecasts: DataFrame, respondents: DataFrame, respondent: str = RESPONDENT, name: str = NAME
+def respondent_name_table(
+    respondents: DataFrame, respondent: str = RESPONDENT, name: str = NAME
 ) -> DataFrame:
-    """Adds the respondent name, null if unknown; two names for one id fail the query."""
-    names = (
+    """One row per respondent; two names for one id fail the query."""
+    return (
         respondents.select(named(respondent), named(name))
         .distinct()
         .groupBy(named(respondent))
         .agg(only_value(name, "a respondent has two names").alias(name))
     )
-    return forecasts.join(names, respondent, "left")
 
 
 def match_realized(
-    forecasts: DataFrame, realized_demand: DataFrame, respondent: str = RESPONDENT
+    forecasts: DataFrame,
+    realized_demand: DataFrame,
+    respondent: str = RESPONDENT,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """Forecasts whose forecast year has realized demand, with the realized peak."""
     peaks = realized_demand.select(
-        named(respondent), F.col("year").alias("forecast_year"), "realized_peak"
+        named(respondent),
+        F.col("year").alias("forecast_year"),
+        "realized_peak",
+        *[named(c) for c in carried],
     )
     return forecasts.join(peaks, [respondent, "forecast_year"], "inner")
 
@@ -127,11 +131,15 @@ def forecast_errors(
     forecasts = peak_forecasts(forecast, first_year, last_year, respondent=respondent)
     if years_to_drop:
         forecasts = forecasts.where(~F.col("forecast_year").isin(list(years_to_drop)))
-    matched = match_realized(forecasts, realized_demand, respondent)
+    # Names and the size rule go onto the realized side, where a respondent has one row per
+    # year; forecasts then join on respondent and year only.
+    demand = realized_demand
     if mean_annual_demand_threshold != 0:
         kept = large_respondents(realized_demand, mean_annual_demand_threshold, respondent)
-        matched = matched.join(kept.where("large").select(respondent), respondent, "left_semi")
-    return with_names(matched, respondents, respondent, name).select(
+        demand = demand.join(kept.where("large").select(respondent), respondent, "left_semi")
+    names = respondent_name_table(respondents, respondent, name)
+    demand = demand.join(names, respondent, "left")
+    return match_realized(forecasts, demand, respondent, [name]).select(
         named(respondent),
         named(name),
         "report_year",
@@ -175,14 +183,14 @@ def forecast_bias(
         .dropna(subset=[respondent, name])
     )
     means = usable.groupBy(respondent, name, "lookahead").agg(F.avg("error").alias("error"))
-    shown = [k for k in LOOKAHEADS if k != 0]
     by_respondent = means.groupBy(respondent, name).agg(
         F.lit(0.0).alias(bias_column(0)),
         *[
-            F.max(F.when(F.col("lookahead") == k, F.col("error"))).alias(bias_column(k))
-            for k in shown
+            F.expr(f"max(CASE WHEN lookahead = {k} THEN error END)").alias(bias_column(k))
+            for k in LOOKAHEADS
+            if k != 0
         ],
-        F.count(F.when(F.col("lookahead") != 0, F.lit(1))).alias("__present"),
+        F.expr("count(CASE WHEN lookahead <> 0 THEN 1 END)").alias("__present"),
     )
     at_1, at_10 = bias_column(1), bias_column(10)
     return (
@@ -195,10 +203,9 @@ def forecast_bias(
 
 def bias_long(bias: DataFrame, respondent: str = RESPONDENT) -> DataFrame:
     """The same figures with one row per respondent and lookahead, nulls kept."""
-    pairs = chain.from_iterable((F.lit(k), F.col(bias_column(k))) for k in LOOKAHEADS)
-    return bias.select(
-        named(respondent), F.stack(F.lit(len(LOOKAHEADS)), *pairs).alias("lookahead", "error")
-    )
+    pairs = ", ".join(f"{k}, {bias_column(k)}" for k in LOOKAHEADS)
+    rows = F.expr(f"stack({len(LOOKAHEADS)}, {pairs})").alias("lookahead", "error")
+    return bias.select(named(respondent), rows)
 
 
 def weighted_bias(
@@ -222,16 +229,13 @@ def weighted_bias(
     sums = bias.join(weight, respondent, "inner").agg(
         sum0("__weight").alias("__all"),
         *[
-            sum0(F.col(bias_column(k)) * F.col("__weight")).alias(bias_column(k))
-            for k in LOOKAHEADS
+            F.expr(f"coalesce(sum({c} * __weight), 0)").alias(c)
+            for c in map(bias_column, LOOKAHEADS)
         ],
     )
-    pairs = chain.from_iterable(
-        (F.lit(k), F.try_divide(F.col(bias_column(k)), F.col("__all"))) for k in LOOKAHEADS
-    )
-    curve = sums.select(
-        F.stack(F.lit(len(LOOKAHEADS)), *pairs).alias("lookahead", "weighted_error")
-    )
+    pairs = ", ".join(f"{k}, try_divide({bias_column(k)}, __all)" for k in LOOKAHEADS)
+    rows = F.expr(f"stack({len(LOOKAHEADS)}, {pairs})")
+    curve = sums.select(rows.alias("lookahead", "weighted_error"))
     return curve.select(
         "lookahead",
         "weighted_error",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -12,16 +13,6 @@ from ..operators import forecast as op
 from ..sources.storage import stored
 
 
-@dataclass(frozen=True)
-class BiasAnalysis:
-    """Results of one analysis; each is a lazy DataFrame."""
-
-    errors: DataFrame
-    bias: DataFrame
-    curve: DataFrame
-    coverage: DataFrame
-
-
 def realized_demand(hourly: DataFrame, demand_col: str) -> DataFrame:
     """Peak and total per respondent and year, stored.
 
@@ -30,33 +21,55 @@ def realized_demand(hourly: DataFrame, demand_col: str) -> DataFrame:
     return stored(op.realized(hourly, demand_col))
 
 
-def analyse_bias(
-    forecast: DataFrame,
-    demand: DataFrame,
-    respondents: DataFrame,
-    end_weighting: str = "total",
-    first_year: int = op.FIRST_YEAR,
-    last_year: int = op.LAST_YEAR,
-    load_weight_year: int = op.LOAD_WEIGHT_YEAR,
-    years_to_drop: Collection[int] = (),
-    mean_annual_demand_threshold: float = 0,
-) -> BiasAnalysis:
-    """Errors, mean error per respondent, weighted curve and coverage from realized demand."""
-    errors = op.forecast_errors(
-        forecast,
-        demand,
-        lower_strings(respondents),
-        first_year,
-        last_year,
-        years_to_drop,
-        mean_annual_demand_threshold,
-    )
-    bias = op.forecast_bias(errors)
-    return BiasAnalysis(
-        errors=errors,
-        bias=bias,
-        curve=op.weighted_bias(bias, demand, end_weighting, load_weight_year),
-        coverage=op.coverage(
-            forecast, demand, first_year, last_year, mean_annual_demand_threshold
-        ),
-    )
+@dataclass(frozen=True)
+class BiasAnalysis:
+    """One analysis; each result is a DataFrame made when first asked for.
+
+    ``demand`` comes from ``realized_demand``.
+    """
+
+    forecast: DataFrame
+    demand: DataFrame
+    respondents: DataFrame
+    end_weighting: str = "total"
+    first_year: int = op.FIRST_YEAR
+    last_year: int = op.LAST_YEAR
+    load_weight_year: int = op.LOAD_WEIGHT_YEAR
+    years_to_drop: Collection[int] = ()
+    mean_annual_demand_threshold: float = 0
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        """Error per respondent, report year and forecast year."""
+        return op.forecast_errors(
+            self.forecast,
+            self.demand,
+            lower_strings(self.respondents),
+            self.first_year,
+            self.last_year,
+            self.years_to_drop,
+            self.mean_annual_demand_threshold,
+        )
+
+    @cached_property
+    def bias(self) -> DataFrame:
+        """Mean error per respondent, one column per lookahead."""
+        return op.forecast_bias(self.errors)
+
+    @cached_property
+    def curve(self) -> DataFrame:
+        """Mean error over respondents, weighted by demand."""
+        return op.weighted_bias(
+            self.bias, self.demand, self.end_weighting, self.load_weight_year
+        )
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        """Respondents and demand that pass the size rule."""
+        return op.coverage(
+            self.forecast,
+            self.demand,
+            self.first_year,
+            self.last_year,
+            self.mean_annual_demand_threshold,
+        )
