@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import all_of, isin_nullsafe, named, sum0, year_range
 from ..functions.guards import only_value
 from ..functions.labels import counted_values, name_with_id, option_text, text_or
+from ..sources.storage import stored
 
 PLANT = "plant_id_eia"
 PLANT_NAME = "plant_name_eia"
@@ -112,7 +113,11 @@ def _options(df: DataFrame, within: Sequence[str], option: Mapping[str, Column])
 def _flag_default(
     options: DataFrame, within: Sequence[str], order: Column, newest: bool = False
 ) -> DataFrame:
-    """Marks the first option of each group in the given order (the last, if ``newest``)."""
+    """Marks the first option of each group in the given order (the last, if ``newest``).
+
+    The options are stored, as both the list and the default of each group read them.
+    """
+    options = stored(options)
     pick = F.max if newest else F.min
     best = options.groupBy(*within).agg(pick(order).alias("__best"))
     return (
@@ -422,14 +427,15 @@ def facet_options(
     """Options of each facet with their row counts; a missing value is an option too.
 
     A facet without any known value is left out. ``only_option`` marks a facet with one
-    option, which is then chosen from the start.
+    option, which is then chosen from the start. The counts are stored, as both the
+    options and the size of their facet come from them.
     """
     keys = list(keys)
     texts = generators.dropna(subset=keys).select(
         *[named(k).alias(f"__key_{k}") for k in keys],
         *[named(f).cast("string").alias(f) for f in facets],
     ).unpivot([f"__key_{k}" for k in keys], list(facets), "facet", "value")
-    counts = (
+    counts = stored(
         texts.withColumnsRenamed({f"__key_{k}": k for k in keys})
         .groupBy(*keys, "facet", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -438,7 +444,7 @@ def facet_options(
         counts.groupBy(*keys, "facet")
         .agg(
             F.count(F.lit(1)).alias("__options"),
-            F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("__known"),
+            F.count("value").alias("__known"),
         )
         .where("__known > 0")
     )
