@@ -32,7 +32,6 @@ def write_csv(
         df.write.mode(mode)
         .option("header", True)
         .option("nullValue", "")
-        .option("emptyValue", '""')
         .option("timestampFormat", TIMESTAMP_FORMAT)
         .option("timestampNTZFormat", TIMESTAMP_FORMAT)
         .option("maxRecordsPerFile", rows_per_file)
@@ -43,7 +42,7 @@ def write_csv(
 
 
 def read_csv(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
-    """Reads such files back with declared types; nothing is inferred."""
+    """Reads such files back with declared types; empty text is null."""
     return (
         spark.read.schema(schema)
         .option("header", True)

@@ -1,0 +1,156 @@
+from __future__ import annotations
+
+from datetime import date, datetime
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from gridloom.operators import access as op
+from gridloom.operators import tables
+from gridloom.sources import csv
+from gridloom.sources.catalog import Catalog, with_quarter
+from gridloom.sources.storage import new_folder, shared_folder, stored
+from helpers import plan, rows
+
+CONTRACTS = (
+    "point_of_delivery_balancing_authority string, contract_execution_date date,"
+    " product_type_name string"
+)
+
+@pytest.fixture
+def contracts(spark):
+    data = [
+        ("PJM", date(2024, 1, 1), "MB"), ("PJM", date(2025, 1, 1), "MB"),
+        ("PJM", date(2024, 6, 1), "CB"), ("PJM", date(2024, 6, 1), None),
+        ("PJM", date(2023, 12, 31), "T"), ("PJM", date(2025, 1, 2), "T"),
+        ("MISO", date(2024, 6, 1), "T"), ("PJM", date(2024, 6, 2), "A"),
+    ]
+    return spark.createDataFrame(data, CONTRACTS)
+
+
+def write(path, schema, data):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    columns = [pa.array(c, t) for c, t in zip(zip(*data), schema.types)]
+    pq.write_table(pa.Table.from_arrays(columns, schema=schema), path)
+
+
+@pytest.fixture
+def catalog(spark, tmp_path):
+    trades = pa.schema(
+        [
+            ("trade_date", pa.date32()),
+            ("point_of_delivery_balancing_authority", pa.string()),
+            ("class_name", pa.string()),
+        ]
+    )
+    one = [(date(2024, 1, 1), "PJM", "F"), (date(2024, 2, 1), "PJM", None)]
+    two = [(date(2024, 4, 1), "PJM", "NF"), (date(2024, 5, 1), "MISO", "F")]
+    for quarter, data in (("2024q1", one), ("2024q2", two)):
+        write(tmp_path / "v1" / "transactions" / f"{quarter}.parquet", trades, data)
+    places = pa.schema([("a", pa.int32()), ("fips", pa.string()), ("geometry", pa.binary())])
+    write(tmp_path / "v1" / "counties.parquet", places, [(1, "01001", b"g")])
+    return Catalog(spark, str(tmp_path), "v1")
+
+
+def test_product_mix_includes_both_days_and_drops_null(contracts):
+    found = op.product_mix(contracts, "PJM", date(2024, 1, 1), "2025-01-01").collect()
+    assert [tuple(r) for r in found] == [("MB", 2), ("A", 1), ("CB", 1)]
+
+
+def test_value_counts_keep_null(contracts):
+    found = op.value_counts(contracts, "product_type_name", keep_null=True).collect()
+    assert [tuple(r) for r in found] == [("T", 3), ("MB", 2), ("A", 1), ("CB", 1), (None, 1)]
+
+
+def test_class_distribution_shows_zero_for_null(catalog):
+    found = op.class_distribution(catalog.quarterly("transactions"))
+    assert rows(found) == [(None, 0), ("F", 2), ("NF", 1)]
+
+
+def test_date_slice_of_a_timestamp_column_ends_at_midnight(spark):
+    data = [(datetime(2024, 1, 31, 12),), (datetime(2024, 2, 1),), (datetime(2024, 2, 1, 1),)]
+    df = spark.createDataFrame(data, "t timestamp_ntz")
+    assert op.date_slice(df, None, "2024-01-01", "2024-02-01", "t").count() == 2
+
+
+def test_quarters(catalog):
+    assert catalog.quarterly("transactions").count() == 4
+    assert catalog.quarterly("transactions", ["2024q2"]).count() == 2
+    assert catalog.matching("transactions/*.parquet").count() == 4
+
+
+def test_quarter_comes_from_the_file_name(catalog):
+    table = catalog.quarterly("transactions", columns=["class_name"], quarter_column="quarter")
+    assert rows(table) == [
+        (None, "2024q1"), ("F", "2024q1"), ("F", "2024q2"), ("NF", "2024q2")
+    ]
+    only = with_quarter(catalog.quarterly("transactions")).where("quarter = '2024q2'")
+    assert only.count() == 2
+
+
+def test_slice_reaches_the_scan(catalog):
+    rest = op.date_slice(
+        catalog.quarterly("transactions"), "PJM", "2024-01-01", "2024-02-01", "trade_date"
+    )
+    pushed = plan(rest.select("class_name"))
+    assert "GreaterThanOrEqual(trade_date,2024-01-01)" in pushed
+    assert "EqualTo(point_of_delivery_balancing_authority,PJM)" in pushed
+    text = op.slice_by_text(
+        catalog.quarterly("transactions"),
+        [
+            "trade_date BETWEEN DATE '2024-01-01' AND DATE '2024-02-01'",
+            "point_of_delivery_balancing_authority = 'PJM'",
+        ],
+    )
+    assert rows(text) == rows(rest)
+    assert text.limit(1).count() == 1
+
+
+def test_table_reads_named_columns_only(catalog):
+    table = catalog.table("counties", ["fips", "geometry"], where="a = 1")
+    assert rows(table) == [("01001", b"g")]
+    assert "EqualTo(a,1)" in plan(table)
+    schema = plan(catalog.table("counties", ["fips"])).split("ReadSchema: ")[1]
+    assert schema.startswith("struct<fips:string>")
+
+
+def test_table_profile_counts_known_values_in_one_scan(spark):
+    df = spark.createDataFrame([(1, None), (2, "x"), (None, None)], "a int, `b.c` string")
+    profile = tables.table_profile(df)
+    assert plan(profile).count("Scan ExistingRDD") == 1
+    assert rows(profile) == [(0, "a", "int", 2, 3), (1, "b.c", "string", 1, 3)]
+
+
+def test_preview(spark):
+    df = spark.range(100)
+    assert [r[0] for r in tables.preview(df, 3, ["id"]).collect()] == [0, 1, 2]
+    assert tables.preview(df).count() == 10
+
+
+def test_csv_round_trip_with_nulls_blanks_and_times(spark):
+    schema = "t timestamp_ntz, s string, v double"
+    data = [(datetime(2023, 1, 1, 5), "a,\"b\"", 1.5), (None, None, None),
+            (datetime(2023, 1, 1), "", 0.1)]
+    folder = new_folder(spark)
+    csv.write_csv(spark.createDataFrame(data, schema), folder)
+    # Empty text reads back as null.
+    data[2] = (datetime(2023, 1, 1), None, 0.1)
+    assert rows(csv.read_csv(spark, folder, schema)) == rows(spark.createDataFrame(data, schema))
+
+
+def test_csv_keeps_the_row_budget_and_splits(spark, tmp_path):
+    df = spark.range(25).selectExpr("id", "concat('q', id % 2) AS quarter").coalesce(1)
+    assert csv.exceeds_budget(df, 24) and not csv.exceeds_budget(df, 25)
+    folder = tmp_path / "out"
+    csv.write_csv(df, str(folder), split_by=["quarter"], rows_per_file=10)
+    files = sorted(folder.glob("quarter=*/*.csv"))
+    assert len(files) == 4
+    assert all(len(f.read_text().splitlines()) <= 11 for f in files)
+
+
+def test_stored_tables_lie_in_the_shared_folder(spark):
+    table = stored(spark.range(3).toDF("x"))
+    assert rows(table) == [(0,), (1,), (2,)]
+    folder = shared_folder(spark).removeprefix("file:")
+    assert all(folder in f for f in table.inputFiles())

@@ -1,0 +1,102 @@
+"""The physical plans that matter at scale."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from bindings.common import QUERIES, hourly_demand, monthly, read
+from gridloom.operators import access, explorer, forecast, profiles, reconcile
+from gridloom.sources.storage import stored
+from helpers import plan
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def scans(text: str, column: str) -> int:
+    return len(re.findall(rf"FileScan parquet \[[^\]]*\b{column}#", text))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_query_crosses_tables_or_leaves_the_jvm(spark, name):
+    text = plan(QUERIES[name](spark, FOLDER))
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
+        assert word not in text
+
+
+def test_realized_is_one_aggregation_with_partial_sums(spark):
+    text = plan(forecast.realized(hourly_demand(spark, FOLDER), "demand_mwh"))
+    assert text.count("partial_max") == 1 and text.count("partial_sum") == 1
+    assert scans(text, "l_shipdate") == 1
+
+
+def test_parts_are_summed_before_the_shuffle(spark):
+    lines = read(spark, FOLDER, "lineitem")
+    orders = read(spark, FOLDER, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+    text = plan(
+        reconcile.reconcile(orders, lines, ["l_orderkey"], "o_totalprice", "l_extendedprice")
+    )
+    assert "partial_sum" in text
+    assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double>" in text
+
+
+def test_histogram_shuffles_counts_only(spark):
+    text = plan(profiles.histogram(read(spark, FOLDER, "lineitem"), "l_tax"))
+    assert "ReadSchema: struct<l_tax:double>" in text
+    assert scans(text, "l_tax") == 1
+    assert text.index("partial_count") > text.index("Exchange")
+
+
+def test_monthly_years_reach_the_scan(spark):
+    months = monthly(spark, FOLDER).withColumn("report_date", F.col("report_date"))
+    direct = read(spark, FOLDER, "lineitem").withColumnsRenamed(
+        {"l_suppkey": "plant_id_eia", "l_shipdate": "report_date"}
+    )
+    text = plan(explorer.monthly_slice(direct, 1997, 1999, 3, ["plant_id_eia", "report_date"]))
+    pushed = text.split("PushedFilters: ")[1]
+    assert "GreaterThanOrEqual(l_shipdate,1997-01-01" in pushed
+    assert "LessThan(l_shipdate,2000-01-01" in pushed
+    assert "EqualTo(l_suppkey,3)" in pushed
+    assert explorer.monthly_slice(months, 1997, 1999).count() > 0
+
+
+def test_class_distribution_reads_one_column(spark):
+    text = plan(access.class_distribution(read(spark, FOLDER, "lineitem"), "l_returnflag"))
+    assert "ReadSchema: struct<l_returnflag:string>" in text
+    assert "partial_count" in text
+
+
+def test_generator_rows_spread_over_all_columns_before_records(spark):
+    rows = read(spark, FOLDER, "lineitem").select(
+        F.col("l_suppkey").alias("plant_id_eia"),
+        F.col("l_shipdate").alias("report_date"),
+        "l_partkey",
+    )
+    records = stored(explorer.newest_records(rows))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(explorer.generator_slice(rows, records))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(plant_id_eia#\d+L, report_date#\d+, l_partkey#", text)
+
+
+def test_results_do_not_depend_on_broadcasts_or_partitions(spark):
+    names = ["weighted_bias", "frames", "area_change_series", "plant_summary", "reconcile_grid"]
+    usual = {n: sorted(map(str, QUERIES[n](spark, FOLDER).collect())) for n in names}
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "3",
+    }
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    try:
+        for name in names:
+            assert sorted(map(str, QUERIES[name](spark, FOLDER).collect())) == usual[name]
+    finally:
+        for key in changed:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
