@@ -7,12 +7,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bindings.common import QUERIES, hourly_demand, monthly, read
+import __spark_entry__ as entry
+from bindings.common import hourly_demand, monthly, read
 from gridloom.operators import access, explorer, forecast, profiles, reconcile
 from gridloom.sources.storage import stored
 from helpers import plan
 
 FOLDER = "/root/testdata/sf0.001"
+QUERIES = entry.queries()
 
 
 def scans(text: str, column: str) -> int:

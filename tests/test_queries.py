@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from bindings.common import SCHEMAS
 from oracle import connect, difference
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -32,3 +33,9 @@ def test_query_agrees_with_its_sql(spark, con, name):
 
 def test_entry_returns_the_curve(spark):
     assert entry.entry(spark).count() == 11
+
+
+def test_schemas_are_those_of_the_files(spark):
+    for table, schema in SCHEMAS.items():
+        found = spark.read.parquet(f"{FOLDER}/{table}.parquet").schema
+        assert spark.read.schema(schema).parquet(f"{FOLDER}/{table}.parquet").schema == found
