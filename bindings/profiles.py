@@ -192,6 +192,39 @@ def histogram_total(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(op.histogram(read(spark, folder, "lineitem"), "l_tax"))
 
 
+@register(
+    "county_histograms",
+    """WITH v AS (
+      SELECT l_suppkey AS k, s_name, s_nationkey, l_tax + l_discount AS x
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    tops AS (SELECT k, s_name, s_nationkey, max(x) AS m FROM v GROUP BY ALL),
+    edges AS (SELECT CAST(b AS INTEGER) AS bin FROM range(0, 100) AS g(b)),
+    spots AS (SELECT DISTINCT x FROM v),
+    bins AS (
+      SELECT x, bin FROM spots JOIN edges
+        ON x >= bin * 1e-2 AND (x < (bin + 1) * 1e-2 OR (bin = 99 AND x <= 1))),
+    counts AS (SELECT k, bin, count(*) AS n FROM v JOIN bins USING (x) GROUP BY ALL)
+    SELECT k AS county_id_fips, bin, round(bin * 1e-2, 6) AS bin_start, coalesce(n, 0) AS n,
+      round(m, 6) AS max_value, 'county: ' || s_name || '; state: ' || s_nationkey
+        || '; gen: charge; max:' || printf('%.2f', m) AS title
+    FROM tops CROSS JOIN edges LEFT JOIN counts USING (k, bin)""",
+)
+def county_histograms(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as counties."""
+    lines = (
+        read(spark, folder, "lineitem")
+        .join(read(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .select(
+            F.col("l_suppkey").alias("county_id_fips"),
+            F.col("s_name").alias("place_name"),
+            F.col("s_nationkey").cast("string").alias("state"),
+            F.col("l_shipdate").alias("datetime_utc"),
+            (F.col("l_tax") + F.col("l_discount")).alias("capacity_factor_charge"),
+        )
+    )
+    return tidy(op.county_histograms(lines, "charge"))
+
+
 STATISTICS_SQL = """
 base AS (
   SELECT CAST(year(l_shipdate) AS INTEGER) AS ship_year, r_name, n_name, s_suppkey,

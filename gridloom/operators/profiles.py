@@ -196,6 +196,35 @@ def histogram_title(
     )
 
 
+def county_histograms(
+    profiles: DataFrame,
+    generation_type: str,
+    fips: str | None = None,
+    key: str = FIPS,
+    place_col: str = "place_name",
+    state_col: str = "state",
+    time_col: str = TIME,
+    prefix: str = MEASURE_PREFIX,
+) -> DataFrame:
+    """Histogram of one measure for a county, or for each, with its title.
+
+    The title holds the earliest name of the county.
+    """
+    rows = profiles if fips is None else profiles.where(named(key) == fips)
+    rows = rows.where(named(key).isNotNull())
+    names = rows.groupBy(named(key)).agg(
+        F.min_by(named(place_col), named(time_col)).alias("__place"),
+        F.min_by(named(state_col), named(time_col)).alias("__state"),
+    )
+    title = histogram_title("__place", "__state", generation_type, "max_value")
+    return (
+        histogram(rows, f"{prefix}{generation_type}", by=[key])
+        .join(names, key)
+        .withColumn("title", title)
+        .drop("__place", "__state")
+    )
+
+
 def mean_var_long(
     df: DataFrame,
     measures: Sequence[str] = GENERATION_TYPES,

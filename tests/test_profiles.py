@@ -157,6 +157,17 @@ def test_histogram_title(spark):
     assert rows(title) == [("county: Logan; state: CO; gen: onshore_wind; max:0.99",)]
 
 
+def test_county_histogram_has_the_earliest_name(spark, profiles):
+    later = spark.createDataFrame([hour("08075", "Renamed", "CO", 9, 0.1, None)], SCHEMA)
+    found = op.county_histograms(profiles.union(later), "solar_pv", "08075")
+    assert {r[0] for r in rows(found, "title")} == {
+        "county: Logan; state: CO; gen: solar_pv; max:1.00"
+    }
+    expected, _ = np.histogram([0.1, 0.29, 0.57, 1.0], bins=100, range=(0, 1))
+    assert [r[1] for r in rows(found, "bin", "n")] == expected.tolist()
+    assert op.county_histograms(profiles, "solar_pv").count() == 400
+
+
 def test_mean_and_variance_rows(profiles):
     stats = op.mean_var_long(profiles)
     found = rows(
