@@ -29,18 +29,30 @@ def area_changes(
     Entities need a mean demand, kept as a whole number. A first area of 0 gives no change
     and drops the entity.
     """
-    when = F.struct(*[named(c) for c in order])
+    # A single order column keeps the large aggregation, by entity and name, on plain values
+    # that fit a hash table; the second one sees a row per entity and name.
+    when = named(order[0]) if len(order) == 1 else F.struct(*[named(c) for c in order])
     when_known = F.when(named(area).isNotNull(), when)
-    firsts = (
+    by_name = (
         df.where(named(entity).isNotNull())
-        .groupBy(named(entity))
+        .groupBy(named(entity), named(name).alias("__name"))
         .agg(
-            strip_ws(F.min_by(named(name), when)).alias("name"),
-            F.avg(named(demand)).cast("long").alias("demand"),
-            F.min_by(named(area), when_known).alias("first_area"),
-            F.max_by(named(area), when_known).alias("last_area"),
+            F.min(when).alias("__since"),
+            F.sum(named(demand)).alias("__demand"),
+            F.count(named(demand)).alias("__n"),
+            F.min(when_known).alias("__first"),
+            F.max(when_known).alias("__last"),
+            F.min_by(named(area), when_known).alias("__first_area"),
+            F.max_by(named(area), when_known).alias("__last_area"),
         )
     )
+    mean = F.try_divide(F.sum("__demand"), F.sum("__n"))
+    firsts = by_name.groupBy(entity).agg(
+        strip_ws(F.min_by("__name", "__since")).alias("name"),
+        mean.cast("long").alias("demand"),
+        F.min_by("__first_area", "__first").alias("first_area"),
+        F.max_by("__last_area", "__last").alias("last_area"),
+    )
     return (
         firsts.where("demand IS NOT NULL")
         .withColumn("pct_change", percent_change("first_area", "last_area"))

@@ -212,10 +212,11 @@ def county_histograms(
     """
     rows = profiles if fips is None else profiles.where(named(key) == fips)
     rows = rows.where(named(key).isNotNull())
-    names = rows.groupBy(named(key)).agg(
-        F.min_by(named(place_col), named(time_col)).alias("__place"),
-        F.min_by(named(state_col), named(time_col)).alias("__state"),
-    )
+    seen = rows.groupBy(
+        named(key), named(place_col).alias("__place"), named(state_col).alias("__state")
+    ).agg(F.min(named(time_col)).alias("__since"))
+    first = F.min_by(F.struct("__place", "__state"), "__since").alias("__first")
+    names = seen.groupBy(key).agg(first).select(key, "__first.*")
     title = histogram_title("__place", "__state", generation_type, "max_value")
     return (
         histogram(rows, f"{prefix}{generation_type}", by=[key])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from bindings.common import hourly_demand, monthly, read
-from gridloom.operators import access, explorer, forecast, profiles, reconcile
+from gridloom.operators import access, change, explorer, forecast, profiles, reconcile
 from gridloom.sources.storage import stored
 from helpers import plan
 
@@ -70,6 +70,17 @@ def test_class_distribution_reads_one_column(spark):
     assert "partial_count" in text
 
 
+def test_area_changes_aggregate_in_a_hash_table_first(spark):
+    orders = read(spark, FOLDER, "orders")
+    text = plan(
+        change.area_changes(
+            orders, "o_custkey", "o_orderstatus", "o_totalprice", "o_totalprice", ["o_orderdate"]
+        )
+    )
+    first = [x for x in text.splitlines() if "partial_min_by(o_totalprice" in x]
+    assert len(first) == 1 and "HashAggregate" in first[0]
+
+
 def test_generator_rows_spread_over_all_columns_before_records(spark):
     rows = read(spark, FOLDER, "lineitem").select(
         F.col("l_suppkey").alias("plant_id_eia"),
