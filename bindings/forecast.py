@@ -195,7 +195,8 @@ MIN_SHOWN = 250_000
 
 AREA_SQL = f"""
 ranked AS (
-  SELECT o_custkey AS id, o_orderdate AS day, o_orderkey AS k, o_totalprice AS a,
+  SELECT o_custkey AS id, o_totalprice AS a,
+    date_diff('day', DATE '1970-01-01', o_orderdate) * 1000000000000 + o_orderkey AS seq,
     CAST(o_totalprice AS DECIMAL(18, 2)) AS exact,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS up,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS down
@@ -215,8 +216,9 @@ def _summary(spark: SparkSession, folder: str) -> DataFrame:
     return orders.join(customers, orders.o_custkey == customers.c_custkey).select(
         F.col("o_custkey").alias("id"),
         F.concat(F.lit("\t "), "c_name", F.lit(" ")).alias("name"),
-        F.col("o_orderdate").alias("day"),
-        F.col("o_orderkey").alias("k"),
+        # Day and order number in one whole number: customers order twice on some days, and
+        # an order by one plain column stays in a hash table.
+        (F.unix_date(F.to_date("o_orderdate")) * 10**12 + F.col("o_orderkey")).alias("seq"),
         F.col("o_totalprice").alias("a"),
         # Exact, so that a whole mean cannot fall just below itself before truncation.
         F.col("o_totalprice").cast("decimal(18,2)").alias("exact"),
@@ -226,7 +228,7 @@ def _summary(spark: SparkSession, folder: str) -> DataFrame:
 def _area(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     summary = _summary(spark, folder)
     return analyse_area(
-        summary, "id", "name", "exact", "a", ["day", "k"], min_shown_demand=MIN_SHOWN
+        summary, "id", "name", "exact", "a", ["seq"], min_shown_demand=MIN_SHOWN
     )
 
 
@@ -247,7 +249,7 @@ def area_change(spark: SparkSession, folder: str) -> DataFrame:
     shown AS (
       SELECT listed.*, (log10(demand) - lo) / (hi - lo) AS g FROM listed, span
       WHERE demand >= {MIN_SHOWN})
-    SELECT id, name, day, k, demand, round((a - first_area) / first_area * 100, 4) + 0e0
+    SELECT id, name, seq, demand, round((a - first_area) / first_area * 100, 4) + 0e0
       AS pct_change, round(g, 4) AS gradient, round(g * g, 4) AS alpha
     FROM ranked JOIN shown USING (id)""",
 )

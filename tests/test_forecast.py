@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 
 import pytest
@@ -232,3 +233,60 @@ def test_trajectory(make):
                                (1, 2023, 2025, 1.0, 9.0), (2, 2024, 2025, 1.0, 9.0)])
     found = op.trajectory(forecast, ids=[1], report_year=2024).collect()
     assert [tuple(r)[2:] for r in found] == [(2025, None), (2026, 2.5)]
+
+
+def brute_force_bias(data):
+    """Mean errors per named respondent by plain loops over dictionaries."""
+    reports = {}
+    for i, name, year, lookahead, error in data:
+        reports.setdefault((i, name, year), {})[lookahead] = error
+    found = {k for r in reports.values() for k in r} | {0}
+    gathered = {}
+    for (i, name, _), report in reports.items():
+        if name is None or report.get(1, 0.0) >= 100:
+            continue
+        for lookahead, error in report.items():
+            gathered.setdefault((i, name), {}).setdefault(lookahead, []).append(error)
+    result = {}
+    for key, lists in gathered.items():
+        means = {k: sum(v) / len(v) for k, v in lists.items()} | {0: 0.0}
+        if len(found) - len(means) > 5:
+            continue
+        if abs(means.get(1, 0.0)) > 0.3 or abs(means.get(10, 0.0)) > 1.0:
+            continue
+        result[key] = [means.get(k) for k in range(11)]
+    return result
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bias_and_curve_agree_with_brute_force(make, seed):
+    draw = random.Random(seed)
+    data, weights = [], []
+    for i in range(40):
+        name = None if draw.random() < 0.1 else f"n{i}"
+        width = draw.choice([2, 5, 8, 13])
+        for year in range(2006, 2006 + draw.randint(1, 4)):
+            for lookahead in range(-1, width):
+                if draw.random() < 0.8:
+                    wild = lookahead == 1 and draw.random() < 0.1
+                    error = 120.0 if wild else draw.uniform(-0.5, 0.5) * (1 + lookahead / 5)
+                    data.append((i, name, year, lookahead, error))
+        if draw.random() < 0.8:
+            weights.append((i, 2015, draw.uniform(1, 9), draw.uniform(1, 9)))
+    expected = brute_force_bias(data)
+    bias = op.forecast_bias(make(ERRORS, data))
+    found = {(r[0], r[1]): list(r)[2:] for r in bias.collect()}
+    assert found.keys() == expected.keys() and expected
+    for key, values in expected.items():
+        assert close([found[key]], [values])
+
+    for weighting, column in (("peak", 2), ("total", 3)):
+        weight = {w[0]: w[column] for w in weights}
+        kept = {k: v for k, v in expected.items() if k[0] in weight}
+        total = sum(weight[i] for i, _ in kept)
+        curve = [
+            sum((v[k] or 0.0) * weight[i] for (i, _), v in kept.items()) / total
+            for k in range(11)
+        ]
+        shown = rows(op.weighted_bias(bias, make(REALIZED, weights), weighting))
+        assert close([r[1:2] for r in shown], [(c,) for c in curve])
