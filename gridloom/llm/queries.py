@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import language, packing, toxicity, urls
+from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,3 +33,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @register("op4_cost_balanced_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, folder, "documents")))
+
+
+@register("op9_language_id")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = language.train(docs, ~held_out)
+    read = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language.predict(read, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op6_naive_bayes_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = toxicity.train(docs, labels, ~held_out)
+    read = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return toxicity.score(read, model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+@register("op8_url_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), URL_RULES)
