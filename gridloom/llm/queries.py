@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, toxicity, urls
+from . import language, packing, simhash, toxicity, urls
 from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,8 @@ URL_RULES = (
 @register("op8_url_rules")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+@register("op5_simhash_pigeonring")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
