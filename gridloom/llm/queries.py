@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, simhash, topk, toxicity, urls
+from . import decontam, language, packing, simhash, topk, toxicity, urls
 from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,37 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
 @register("op3_pivot_topk", OP3_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP2_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, hash(text) AS th,
+    list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w
+  FROM documents),
+item_words AS (
+  SELECT item_id,
+    list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w
+  FROM benchmark),
+d AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS pos FROM doc_words),
+i AS (
+  SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS item_at
+  FROM item_words WHERE len(w) >= 5),
+agreeing AS (
+  SELECT doc_id, item_id, n, pos - item_at AS start, item_at FROM d JOIN i USING (w)),
+windows AS (
+  SELECT doc_id, item_id, n, start,
+    count(*) OVER (PARTITION BY doc_id, item_id, n, start ORDER BY item_at
+      RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS matched
+  FROM agreeing),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) AS k
+  FROM windows WHERE matched >= CASE WHEN n < 13 THEN n ELSE 11 END)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(matched AS INTEGER) AS matched,
+  CAST(n AS INTEGER) AS item_size
+FROM ranked WHERE k = 1"""
+
+
+@register("op2_spaced_seed_decontamination", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_hash")
