@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, packing, simhash, topk, toxicity, urls
+from . import decontam, language, licenses, packing, simhash, topk, toxicity, urls
 from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,8 @@ FROM ranked WHERE k = 1"""
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("text_hash")
+
+
+@register("op10_license_scan")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
