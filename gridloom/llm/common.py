@@ -42,8 +42,10 @@ def crc_mod(doc_id: Column | str, divisor: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each holds about ``SLICE_BYTES`` of text, one row at least."""
+def slices(
+    batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that each holds about ``limit`` bytes of text, one row at least."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -52,7 +54,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
 

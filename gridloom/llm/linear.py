@@ -18,8 +18,8 @@ class Rows:
     @classmethod
     def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
         starts = np.concatenate([[0], np.cumsum([len(s) for s, _ in rows])]).astype(np.int64)
-        slots = np.concatenate([np.zeros(0, np.int64), *[s for s, _ in rows]]).astype(np.int64)
-        values = np.concatenate([np.zeros(0), *[v for _, v in rows]])
+        slots = np.concatenate([np.zeros(0, np.int32), *[s for s, _ in rows]])
+        values = np.concatenate([np.zeros(0, np.float32), *[v for _, v in rows]])
         return cls(slots, values, starts)
 
     def __len__(self) -> int:

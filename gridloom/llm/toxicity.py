@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named
-from .common import code_points, gram_slots, slices, texts_of
+from .common import code_points, gram_slots, slices, stored, texts_of
 from .linear import Rows, ftrl
 
 
+# Bytes of text at a time: every n-gram of a slice is sorted at once.
+SLICE = 1_000_000
+
+
 @dataclass
 class ToxicityModel:
     #: Weight times log-count ratio of every slot; 0 for slots that say nothing.
@@ -44,7 +48,7 @@ def _class_counts(rows: DataFrame, orders: tuple[int, ...], bits: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.ones(1 << bits, bool)
         found, total = np.zeros((2, 1 << bits), np.int64), np.zeros(2, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             row, slot = _present(texts_of(batch, "text"), orders, bits, keep)
             for y in (0, 1):
@@ -68,7 +72,7 @@ def _kept_slots(rows: DataFrame, ratios: np.ndarray, orders: tuple[int, ...], bi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.zeros(1 << bits, bool)
         mask[keep.value] = True
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             row, slot = _present(texts_of(batch, "text"), orders, bits, mask)
             cuts = np.searchsorted(row, np.arange(1, batch.num_rows))
             held = [part.astype(np.int32).tobytes() for part in np.split(slot, cuts)]
@@ -88,7 +92,8 @@ def train(
     id_column: str = "doc_id",
     text_column: str = "text",
     label_column: str = "toxic",
-    rows_per_fit: int = 24_000,
+    rows_per_ratio: int = 24_000,
+    rows_per_fit: int = 4_000,
     orders: tuple[int, ...] = (3, 4, 5, 6),
     bits: int = 20,
     smoothing: float = 20.0,
@@ -97,8 +102,9 @@ def train(
 ) -> ToxicityModel | None:
     """Learns from labelled documents; ``learn_from`` is a condition on the labels' id.
 
-    The fit takes about ``rows_per_fit`` labelled rows at most, half of each class, drawn by a
-    hash of the id; they are found by a join with the drawn ids, whose number is bounded. A
+    The ratios take about ``rows_per_ratio`` labelled rows at most, half of each class, drawn
+    by a hash of the id and found by a join with the drawn ids, whose number is bounded; the
+    classifier is fitted on about ``rows_per_fit`` of them, drawn alike. A
     slot's ratio is ``log((t / T + s) / (c / C + s))`` for ``t`` of ``T`` toxic and ``c`` of
     ``C`` clean rows that hold it, with ``s = smoothing / (T + C)``; ratios nearer to 0 than
     ``least_ratio`` count as 0. The classifier is logistic on presence times ratio, and its
@@ -113,35 +119,43 @@ def train(
     if len(counts) < 2:
         return None
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003))
-    rate = F.when(F.col("toxic") == 1, _rate(rows_per_fit, counts[1])).otherwise(
-        _rate(rows_per_fit, counts[0])
-    )
-    drawn = known.withColumn("turn", draw).where(F.col("turn") < rate)
+
+    def below(rows: int) -> Column:
+        rates = {y: min(1_000_003.0, 1_000_003 * rows / 2 / n) for y, n in counts.items()}
+        return F.col("turn") < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])
+
+    drawn = known.withColumn("turn", draw).where(below(rows_per_ratio))
     read = docs.select(key.alias("id"), F.coalesce(named(text_column), F.lit("")).alias("text"))
     rows = read.join(F.broadcast(drawn), "id").select("text", "toxic", "turn")
 
     slots = 1 << bits
-    found = _class_counts(rows, orders, bits).where("toxic + clean >= 3").toPandas()
-    total = found[found["slot"] == -1]
-    found = found[found["slot"] >= 0]
-    if not len(total):
-        return None
-    toxic, clean = float(total["toxic"].iloc[0]), float(total["clean"].iloc[0])
-    if not toxic or not clean:
+    found = stored(_class_counts(rows, orders, bits))
+    total = found.where("slot = -1").first()
+    if total is None or not total["toxic"] or not total["clean"]:
         return None
-    base = smoothing / (toxic + clean)
-    ratio = np.log((found["toxic"] / toxic + base) / (found["clean"] / clean + base)).to_numpy()
+    base = smoothing / (total["toxic"] + total["clean"])
+    ratio = F.log(
+        (F.col("toxic") / total["toxic"] + base) / (F.col("clean") / total["clean"] + base)
+    )
+    told = (
+        found.where("slot >= 0 and toxic + clean >= 3")
+        .select("slot", ratio.alias("ratio"))
+        .where(F.abs("ratio") >= least_ratio)
+        .toPandas()
+    )
     ratios = np.zeros(slots)
-    told = np.abs(ratio) >= least_ratio
-    ratios[found["slot"].to_numpy()[told]] = ratio[told]
+    ratios[told["slot"].to_numpy()] = told["ratio"].to_numpy()
 
-    sample = _kept_slots(rows, ratios, orders, bits).collect()
+    sample = _kept_slots(rows.where(below(rows_per_fit)), ratios, orders, bits).collect()
     sample = sorted(sample, key=lambda r: (r["turn"], r["toxic"], r["slots"]))
     labels01 = np.array([r["toxic"] for r in sample], np.int64)
     sparse = []
     for r in sample:
-        at = np.frombuffer(r["slots"], np.int32).astype(np.int64)
-        sparse.append((at, ratios[at]))
+        at = np.frombuffer(r["slots"], np.int32)
+        sparse.append((at, ratios[at].astype(np.float32)))
+    toxic, clean = float(labels01.sum()), float(len(labels01) - labels01.sum())
+    if not toxic or not clean:
+        return None
     w, bias = ftrl(
         Rows.of(sparse), labels01, 2, slots, epochs=epochs, alpha=0.1, beta=1.0, l1=0.0, l2=1.0
     )
@@ -151,10 +165,6 @@ def train(
     )
 
 
-def _rate(rows: int, n: int) -> float:
-    return min(1_000_003.0, 1_000_003 * rows / 2 / n)
-
-
 def score(
     docs: DataFrame,
     model: ToxicityModel | None,
@@ -183,7 +193,7 @@ def score(
             weights = np.zeros(1 << bits)
             weights[used] = values
             keep = weights != 0
-        for batch in slices(batches, text_column):
+        for batch in slices(batches, text_column, SLICE):
             found = np.zeros(batch.num_rows)
             if weights is not None:
                 row, slot = _present(texts_of(batch, text_column), orders, bits, keep)
