@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, licenses, packing, pii, simhash, topk, toxicity, urls
+from . import decontam, language, licenses, lm, packing, pii, simhash, topk, toxicity, urls
 from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,14 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_email", "n_ip", "n_card", "n_phone",
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
     )
+
+
+@register("op1_elias_fano_lm")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_mod("doc_id", 7) == 2
+    model = lm.train(docs.where(~held_out))
+    return lm.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
