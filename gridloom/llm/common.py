@@ -36,6 +36,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, condition: Column) -> DataFrame:
+    """Rows of ``docs`` that meet no row of ``gone``, a narrow table that has been stored.
+
+    It is broadcast if it has at most ``BROADCAST_ROWS`` rows, else the join shuffles.
+    """
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, condition, "left_anti")
+
+
 def crc_mod(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of an id written as text, modulo ``divisor``; a null id counts as empty text."""
     column = named(doc_id) if isinstance(doc_id, str) else doc_id

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named
+from .common import stored, without
 
 # Places of a window that a mask compares; the others are ignored. Together they meet every
 # window of 13 words in which at most 2 words differ, wherever those lie.
@@ -165,5 +166,6 @@ def without_overlaps(
     docs: DataFrame, benchmark: DataFrame, *, text_column: str = "text", **names: str
 ) -> DataFrame:
     """The documents whose text holds no passage of the benchmark, all columns kept."""
-    found = overlaps(docs, benchmark, text_column=text_column, **names).select("text_hash").distinct()
-    return docs.join(found, F.xxhash64(named(text_column)) == found["text_hash"], "left_anti")
+    found = overlaps(docs, benchmark, text_column=text_column, **names)
+    gone = stored(found.select("text_hash").distinct())
+    return without(docs, gone, F.xxhash64(named(text_column)) == gone["text_hash"])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named
-from .common import slices, stored
+from .common import slices, stored, without
 from .components import components
 
 
@@ -45,20 +45,26 @@ def fingerprints(
     words: int = 3,
     seed: int = 42,
 ) -> DataFrame:
-    """doc_id and fingerprint (a long with the 64 bits) of every whole text; null reads as empty."""
+    """doc_id, fingerprint (a long with the 64 bits) and hash of every whole text.
+
+    A null text has the fingerprint of an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = pc.fill_null(pc.cast(batch.column("text"), pa.binary()), b"").to_pylist()
             found = np.array([fingerprint(t, words, seed) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"]
+                [batch.column("doc_id"), pa.array(found.view(np.int64)), batch.column("text_hash")],
+                ["doc_id", "fingerprint", "text_hash"],
             )
 
     chosen = docs.select(
-        named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text")
+        named(id_column).cast("long").alias("doc_id"),
+        named(text_column).alias("text"),
+        F.xxhash64(named(text_column)).alias("text_hash"),
     )
-    return chosen.mapInArrow(run, "doc_id long, fingerprint long")
+    return chosen.mapInArrow(run, "doc_id long, fingerprint long, text_hash long")
 
 
 SEGMENTS, WIDTH = 8, 8
@@ -148,6 +154,22 @@ def links(prints: DataFrame) -> DataFrame:
     )
 
 
+def _groups(
+    docs: DataFrame, id_column: str, text_column: str, words: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with their fingerprints, and fingerprints with their component and least id."""
+    prints = stored(
+        fingerprints(docs, id_column=id_column, text_column=text_column, words=words)
+    )
+    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    joined = components(links(distinct))
+    reached = distinct.join(joined, distinct["fingerprint"] == joined["node"], "left").select(
+        "fingerprint", F.coalesce("component", "fingerprint").alias("component"), "least"
+    )
+    heads = reached.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints, stored(reached.select("fingerprint", "component").join(heads, "component"))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -164,18 +186,47 @@ def near_duplicates(
     of null ids has a null component_id); repeated rows appear as often as they occur; ties
     cannot arise; an empty table gives an empty result; other columns are ignored.
     """
-    prints = stored(
-        fingerprints(docs, id_column=id_column, text_column=text_column, words=words)
-    )
-    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    joined = components(links(distinct))
-    reached = distinct.join(joined, distinct["fingerprint"] == joined["node"], "left").select(
-        "fingerprint", F.coalesce("component", "fingerprint").alias("component"), "least"
-    )
-    heads = reached.groupBy("component").agg(F.min("least").alias("component_id"))
-    heads = stored(reached.join(heads, "component").select("fingerprint", "component_id"))
+    prints, heads = _groups(docs, id_column, text_column, words)
     return prints.join(heads, "fingerprint").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_one(
+    docs: DataFrame,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    words: int = 3,
+) -> DataFrame:
+    """One row of every component of ``near_duplicates``, all columns kept.
+
+    The row with the smallest id stays, null ids last; of rows that share it the one whose
+    text has the smallest hash, and of rows equal in both any one.
+    """
+    prints, heads = _groups(docs, id_column, text_column, words)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    rows = prints.join(heads.select("fingerprint", "component"), "fingerprint")
+    counted = stored(rows.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    first = counted.groupBy("component").agg(F.min(order).alias("first"))
+    first = first.select("component", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"))
+    stays = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
+    gone = stored(
+        counted.join(first, "component").where(~stays).select(
+            F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")
+        )
+    )
+    own, text_hash = named(id_column).cast("long"), F.xxhash64(named(text_column))
+    kept = without(docs, gone, own.eqNullSafe(gone["gone_id"]) & (text_hash == gone["gone_hash"]))
+    twice = stored(
+        counted.where("n > 1").select(F.col("doc_id").alias("twice_id"), F.col("text_hash").alias("twice_hash"))
+    )
+    if twice.isEmpty():
+        return kept
+    same = own.eqNullSafe(twice["twice_id"]) & (text_hash == twice["twice_hash"])
+    marked = kept.join(twice, same, "left_semi").withColumn("_hash", text_hash)
+    return without(kept, twice, same).unionByName(
+        marked.dropDuplicates([id_column, "_hash"]).drop("_hash")
+    )
