@@ -153,16 +153,19 @@ def judge(
             "tokens": tokens(F.col("url"), F.col("host"), F.col("path")),
         }
     ).drop("url")
-    labelled = read.where("given is not null").select("tokens", F.col("given").alias("verdict"))
+    ruled, open_pages = read.where("given is not null"), read.where("given is null")
+    labelled = ruled.select("tokens", F.col("given").alias("verdict"))
     mined = mine(labelled, min_support=min_support, min_confidence=min_confidence)
-    best = match(read.where("given is null"), mined)
-    # Only pages without a given rule look up the mined verdict.
-    key = F.when(F.col("given").isNull(), F.col("tokens"))
-    found = read.withColumn("key", key).join(
-        best.select(F.col("tokens").alias("key"), "mined_verdict", "mined_rule"), "key", "left"
-    )
-    return found.select(
+    # Stored, so that the join meets two plain shuffles and Spark can split a frequent token set.
+    best = stored(match(open_pages, mined))
+    found = open_pages.join(best, "tokens", "left").select(
         id_column, "host", "path", "rule",
-        F.coalesce("given", "mined_verdict", F.lit(otherwise)).alias("verdict"),
+        F.coalesce("mined_verdict", F.lit(otherwise)).alias("verdict"),
         "mined_rule",
     )
+    return found.union(
+        ruled.select(
+            id_column, "host", "path", "rule", F.col("given").alias("verdict"),
+            F.lit(None).cast("string").alias("mined_rule"),
+        )
+    )
