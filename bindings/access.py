@@ -7,8 +7,79 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import access as op
 from gridloom.operators import tables
+from gridloom.sources.catalog import Catalog
+from gridloom.sources.storage import new_folder
 
-from .common import read, register, tidy
+from .common import SCHEMAS, read, register, tidy
+
+
+def _quarters(spark: SparkSession, folder: str) -> Catalog:
+    """Shipments written as a table kept by quarter, several part files to each."""
+    base = new_folder(spark)
+    day = F.col("l_shipdate")
+    quarter = F.concat(F.year(day).cast("string"), F.lit("q"), F.quarter(day).cast("string"))
+    lines = read(spark, folder, "lineitem").withColumn("quarter", quarter)
+    lines.write.partitionBy("quarter").parquet(f"{base}/transactions")
+    return Catalog(spark, base, layout="quarter={quarter}")
+
+
+@register(
+    "quarterly_slice",
+    """SELECT l_orderkey, l_shipdate, l_extendedprice, '1996q' || quarter(l_shipdate) AS quarter
+    FROM lineitem WHERE l_returnflag = 'R'
+      AND l_shipdate >= '1996-01-01' AND l_shipdate < '1996-07-01'""",
+)
+def quarterly_slice(spark: SparkSession, folder: str) -> DataFrame:
+    """Two quarters, some columns, one class."""
+    return _quarters(spark, folder).quarterly(
+        "transactions",
+        ["1996q1", "1996q2"],
+        ["l_orderkey", "l_shipdate", "l_extendedprice"],
+        "l_returnflag = 'R'",
+        quarter_column="quarter",
+        schema=SCHEMAS["lineitem"],
+    )
+
+
+@register(
+    "quarterly_counts",
+    """SELECT year(l_shipdate) || 'q' || quarter(l_shipdate) AS quarter, count(*) AS n
+    FROM lineitem GROUP BY ALL""",
+)
+def quarterly_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of every quarter, named by the files."""
+    table = _quarters(spark, folder).quarterly(
+        "transactions", quarter_column="quarter", schema=SCHEMAS["lineitem"]
+    )
+    return op.value_counts(table, "quarter")
+
+
+@register(
+    "quarterly_one",
+    """SELECT l_returnflag AS class_name, count(*) AS n FROM lineitem
+    WHERE l_shipdate >= '1997-04-01' AND l_shipdate < '1997-07-01' GROUP BY ALL""",
+)
+def quarterly_one(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of a single quarter."""
+    table = _quarters(spark, folder).quarterly(
+        "transactions", ["1997q2"], schema=SCHEMAS["lineitem"]
+    )
+    return op.class_distribution(table.withColumnRenamed("l_returnflag", "class_name"))
+
+
+SLICE_LIMIT = 1_000_000
+
+
+@register(
+    "slice_limit",
+    f"""SELECT least(count(*), {SLICE_LIMIT}) AS n FROM lineitem
+    WHERE l_returnflag = 'R' AND l_shipdate BETWEEN '1996-01-01' AND '1996-12-31'""",
+)
+def slice_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """As many rows as an unordered limit lets through, whichever they are."""
+    lines = read(spark, folder, "lineitem")
+    rows = op.date_slice(lines, "R", "1996-01-01", "1996-12-31", "l_shipdate", "l_returnflag")
+    return tables.preview(rows, SLICE_LIMIT).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(

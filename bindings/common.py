@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.sources.catalog import Catalog
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -44,7 +46,7 @@ SCHEMAS = {
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
+    return Catalog(spark, folder).table(table, schema=SCHEMAS[table])
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -141,10 +143,11 @@ monthly AS (
   FROM lineitem)"""
 
 
-def plants(spark: SparkSession, folder: str) -> DataFrame:
+def places(spark: SparkSession, folder: str) -> DataFrame:
+    """Plants without the years of their records."""
     balance = F.col("s_acctbal")
     city = F.when(balance < 3000, None).when(balance < 6000, "").otherwise(F.col("s_name"))
-    places = (
+    return (
         read(spark, folder, "supplier")
         .join(read(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(read(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -157,14 +160,19 @@ def plants(spark: SparkSession, folder: str) -> DataFrame:
             city.alias("city"),
         )
     )
+
+
+def plants(spark: SparkSession, folder: str) -> DataFrame:
+    known = places(spark, folder)
     years = read(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("plant_id_eia"),
         F.trunc("l_shipdate", "year").alias("report_date"),
     )
-    return years.distinct().join(places, "plant_id_eia").select(*places.columns, "report_date")
+    return years.distinct().join(known, "plant_id_eia").select(*known.columns, "report_date")
 
 
 def generators(spark: SparkSession, folder: str) -> DataFrame:
+    """Generator rows as the table holds them, repeats included."""
     size = F.col("p_size")
     parts = read(spark, folder, "part").select(
         F.col("p_partkey").alias("l_partkey"),
@@ -181,8 +189,7 @@ def generators(spark: SparkSession, folder: str) -> DataFrame:
         "l_partkey",
     )
     return (
-        lines.distinct()
-        .join(parts, "l_partkey")
+        lines.join(parts, "l_partkey")
         .withColumn("generator_id", F.col("l_partkey").cast("string"))
         .drop("l_partkey")
     )

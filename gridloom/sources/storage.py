@@ -2,39 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables, as the cluster names it in ``spark.checkpoint.dir``."""
-    context = spark.sparkContext
-    named = context.getCheckpointDir()
-    if named is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-            named = tempfile.mkdtemp(prefix="gridloom-")
-        context.setCheckpointDir(named)
-        named = context.getCheckpointDir()
-    return named
+def shared_folder(spark: SparkSession) -> str | None:
+    """Folder for intermediate tables, if the cluster names one in ``spark.checkpoint.dir``."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else None
 
 
-def new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, parent: str | None = None) -> str:
+    """A new folder below ``parent``, else the shared folder, else the session's warehouse."""
+    parent = parent or shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{parent.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back.
+def stored(df: DataFrame, parent: str | None) -> DataFrame:
+    """Writes a table below a folder the caller names and reads it back.
 
     For results that are small beside their input and read more than once: the input is
-    scanned once, and the optimizer knows the true size when it picks a join, so it
-    broadcasts the table only below ``spark.sql.autoBroadcastJoinThreshold``.
+    scanned once, and the optimizer knows the true size when it picks a join. The write is a
+    job at the time of the call; without a folder the plan stays as it is, and nothing runs.
     """
+    if parent is None:
+        return df
     spark = df.sparkSession
-    folder = new_folder(spark)
+    folder = new_folder(spark, parent)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

@@ -149,8 +149,57 @@ def test_csv_keeps_the_row_budget_and_splits(spark, tmp_path):
     assert all(len(f.read_text().splitlines()) <= 11 for f in files)
 
 
-def test_stored_tables_lie_in_the_shared_folder(spark):
-    table = stored(spark.range(3).toDF("x"))
+def test_tables_are_stored_only_where_a_folder_is_named(spark, tmp_path):
+    df = spark.range(3).toDF("x")
+    assert stored(df, None) is df
+    table = stored(df, str(tmp_path))
     assert rows(table) == [(0,), (1,), (2,)]
-    folder = shared_folder(spark).removeprefix("file:")
-    assert all(folder in f for f in table.inputFiles())
+    assert all(str(tmp_path) in f for f in table.inputFiles())
+
+
+def test_the_session_names_the_shared_folder(spark, tmp_path):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_folder(spark) == (named and named.rstrip("/"))
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    assert new_folder(spark).startswith(f"{named or warehouse}/table-")
+    assert new_folder(spark, str(tmp_path)).startswith(f"{tmp_path}/table-")
+
+
+def test_quarters_of_several_part_files(spark, tmp_path):
+    """A quarter is a directory, as Spark writes it, or a partition of a table."""
+    df = spark.range(40).selectExpr("id", "concat('2024q', id % 4 + 1) AS quarter").repartition(3)
+    for k in range(1, 5):
+        part = df.where(f"quarter = '2024q{k}'").drop("quarter")
+        part.write.parquet(str(tmp_path / "t" / f"2024q{k}.parquet"))
+    df.write.partitionBy("quarter").parquet(str(tmp_path / "p"))
+    named, hive = Catalog(spark, str(tmp_path)), Catalog(spark, str(tmp_path), None, "quarter={quarter}")
+    for catalog, name in ((named, "t"), (hive, "p")):
+        table = catalog.quarterly(name, quarter_column="quarter")
+        assert rows(table.groupBy("quarter").count()) == [(f"2024q{k}", 10) for k in range(1, 5)]
+        one = catalog.quarterly(name, ["2024q2"], quarter_column="quarter")
+        assert {r[0] % 4 for r in rows(one, "id")} == {1}
+
+
+def test_a_path_without_a_quarter_fails(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "2024q1_backup" / "t" / "part.parquet"))
+    table = Catalog(spark, str(tmp_path / "2024q1_backup")).matching("t/*.parquet")
+    with pytest.raises(Exception, match="no quarter in the path"):
+        with_quarter(table).collect()
+
+
+def test_a_missing_quarter_fails(catalog):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        catalog.quarterly("transactions", ["2031q1"])
+
+
+def test_whole_days_include_the_last_day(spark):
+    data = [(datetime(2024, 1, 31, 12),), (datetime(2024, 2, 1, 23),), (datetime(2024, 2, 2),)]
+    df = spark.createDataFrame(data, "t timestamp_ntz")
+    found = op.date_slice(df, None, "2024-01-01", "2024-02-01", "t", whole_days=True)
+    assert found.count() == 2
+
+
+def test_unordered_limit_after_filters(spark):
+    df = spark.range(100).toDF("x")
+    assert tables.preview(df.where("x < 50"), 10).count() == 10
+    assert tables.preview(df.where("x < 5"), 10).count() == 5
