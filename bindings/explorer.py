@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import explorer as op
 
-from .common import EXPLORER_SQL, generators, monthly, plants, read, register, tidy
+from .common import EXPLORER_SQL, generators, monthly, places, plants, register, tidy
 
 KEYS = ["plant_id_eia", "report_date"]
 
-# The newest year of shipments in the driver's tables.
-LAST_YEAR = 2001
-
 
 @register(
     "facet_states",
@@ -85,6 +82,20 @@ def monthly_slice(spark: SparkSession, folder: str) -> DataFrame:
     return op.monthly_slice(monthly(spark, folder), 1997, 1999, columns=columns)
 
 
+ONE_PLANT = 7
+
+
+@register(
+    "monthly_slice_one",
+    f"""WITH {EXPLORER_SQL} SELECT plant_id_eia, report_date, fuel_type_code, net_generation_mwh
+    FROM monthly WHERE year(report_date) BETWEEN 1997 AND 1999 AND plant_id_eia = {ONE_PLANT}""",
+)
+def monthly_slice_one(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["plant_id_eia", "report_date", "fuel_type_code", "net_generation_mwh"]
+    months = monthly(spark, folder)
+    return op.monthly_slice(months, 1997, 1999, plant_id=ONE_PLANT, columns=columns)
+
+
 NEWEST_SQL = f"""{EXPLORER_SQL},
 newest AS (
   SELECT generators.* FROM generators
@@ -148,13 +159,15 @@ def plant_summary(spark: SparkSession, folder: str) -> DataFrame:
       FROM plants
       UNION ALL SELECT plant_id_eia, report_date, 'city', city FROM plants
       UNION ALL SELECT plant_id_eia, report_date, 'state', state FROM plants
-      UNION ALL SELECT plant_id_eia, report_date, 'county', county FROM plants)
+      UNION ALL SELECT plant_id_eia, report_date, 'county', county FROM plants
+      UNION ALL SELECT plant_id_eia, report_date, 'latitude', CAST(latitude AS VARCHAR)
+      FROM plants)
     WHERE value IS NOT NULL""",
 )
 def attribute_card(spark: SparkSession, folder: str) -> DataFrame:
     records = op.plant_records(plants(spark, folder))
     wanted = [*op.GRID_ATTRIBUTES, *op.LOCATION_ATTRIBUTES]
-    present = [c for c in wanted if c in records.columns and c != "latitude"]
+    present = [c for c in wanted if c in records.columns]
     return op.attribute_card(records, KEYS, present)
 
 
@@ -167,9 +180,9 @@ def attribute_card(spark: SparkSession, folder: str) -> DataFrame:
       title FROM monthly JOIN titles USING (plant_id_eia) GROUP BY ALL""",
 )
 def netgen_total(spark: SparkSession, folder: str) -> DataFrame:
-    titles = plants(spark, folder).select("plant_id_eia", op.chart_title().alias("title"))
+    titles = places(spark, folder).select("plant_id_eia", op.chart_title().alias("title"))
     series = op.net_generation(monthly(spark, folder))
-    return tidy(series.join(titles.distinct(), "plant_id_eia"), 4)
+    return tidy(series.join(titles, "plant_id_eia"), 4)
 
 
 @register(
@@ -197,7 +210,9 @@ def netgen_by_generator(spark: SparkSession, folder: str) -> DataFrame:
       SELECT plant_id_eia,
         count(DISTINCT CASE WHEN fuel_type_code IS NOT NULL THEN generator_id END)
           + max(CASE WHEN fuel_type_code IS NULL THEN 1 ELSE 0 END) AS n_with_data
-      FROM monthly WHERE year(report_date) = {LAST_YEAR} GROUP BY 1),
+      FROM monthly JOIN (SELECT plant_id_eia, max(report_date) AS d FROM plants GROUP BY 1)
+        USING (plant_id_eia)
+      WHERE year(report_date) = year(d) GROUP BY 1),
     units AS (SELECT plant_id_eia, count(*) AS n_on_record FROM newest GROUP BY 1)
     SELECT plant_id_eia, n_with_data, n_on_record, CASE WHEN n_with_data < n_on_record THEN
       'Generation data available for ' || n_with_data || ' of ' || n_on_record
@@ -207,11 +222,10 @@ def netgen_by_generator(spark: SparkSession, folder: str) -> DataFrame:
 def generator_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Months without a fuel lose their generator id, so that some generators lack data."""
     unit = F.when(F.col("fuel_type_code").isNotNull(), F.col("generator_id"))
-    months = op.monthly_slice(monthly(spark, folder), LAST_YEAR, LAST_YEAR)
+    records = op.newest_records(plants(spark, folder))
+    months = op.months_of_records(monthly(spark, folder), records)
     return op.generator_coverage(
-        months.withColumn("generator_id", unit),
-        generators(spark, folder),
-        op.newest_records(plants(spark, folder)),
+        months.withColumn("generator_id", unit), generators(spark, folder), records
     )
 
 
@@ -231,7 +245,7 @@ FACETS = ["technology_description", "prime_mover_code", "operational_status", "f
       options = 1 AS only_option FROM sized WHERE known > 0""",
 )
 def facet_options(spark: SparkSession, folder: str) -> DataFrame:
-    return op.facet_options(generators(spark, folder).drop("data_maturity"), FACETS)
+    return op.facet_options(op.generator_rows(generators(spark, folder)), FACETS)
 
 
 SELECTIONS = {
@@ -258,7 +272,7 @@ def facet_filter(spark: SparkSession, folder: str) -> DataFrame:
       || ' ' || n_generators || ' generators selected' END AS message FROM c""",
 )
 def facet_filter_message(spark: SparkSession, folder: str) -> DataFrame:
-    return op.selection_message(generators(spark, folder), SELECTIONS)
+    return op.selection_message(op.generator_rows(generators(spark, folder)), SELECTIONS)
 
 
 @register(
@@ -272,39 +286,36 @@ def attributes_long(spark: SparkSession, folder: str) -> DataFrame:
     return op.attributes_long(_newest(spark, folder), FACETS, ["plant_id_eia"])
 
 
-KINDS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+SHOWN = ["technology_description", "operational_status", "capacity_mw", "fuel_type_code",
+         "prime_mover_code"]
 
 
 def _transpose_sql() -> str:
-    cells = ", ".join(f"max(CASE WHEN g = '{k}' THEN value END) AS \"{k}\"" for k in KINDS)
+    """One plant's newest generators: (attribute, value) rows of each, gathered by attribute."""
     rows = " UNION ALL ".join(
-        f"SELECT p_type AS g, '{a}' AS attribute, CAST({e} AS VARCHAR) AS value"
-        " FROM part GROUP BY 1"
-        for a, e in {
-            "capacity_mw": "max(p_size)",
-            "operational_status": "min(CASE WHEN p_type <> 'PROMO' THEN p_name END)",
-            "fuel_type_code": "max(p_brand)",
-            "parts": "count(*)",
-        }.items()
+        f"SELECT generator_id, '{c}' AS attribute, CAST({c} AS VARCHAR) AS value FROM newest"
+        f" WHERE plant_id_eia = {ONE_PLANT}"
+        for c in SHOWN
     )
-    return f"""WITH rows AS ({rows})
-    SELECT attribute, {cells} FROM rows GROUP BY attribute HAVING count(value) > 0"""
+    return f"""WITH {NEWEST_SQL}, cells AS ({rows})
+    SELECT attribute, count(value) AS shown,
+      string_agg(generator_id || '=' || value, ', ' ORDER BY generator_id) AS generators
+    FROM cells WHERE value IS NOT NULL GROUP BY attribute"""
 
 
 @register("transpose_attributes", _transpose_sql())
 def transpose_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    """Part types as generators; one attribute is empty throughout and one for PROMO."""
-    named = F.when(F.col("p_type") != "PROMO", F.col("p_name"))
-    units = (
-        read(spark, folder, "part")
-        .groupBy(F.col("p_type").alias("generator_id"))
-        .agg(
-            F.max("p_size").alias("capacity_mw"),
-            F.min(named).alias("operational_status"),
-            F.max("p_brand").alias("fuel_type_code"),
-            F.lit(None).cast("string").alias("prime_mover_code"),
-            F.count(F.lit(1)).alias("parts"),
-        )
+    """One row per attribute; as the generators differ by scale, their columns are gathered.
+
+    The generators' ids are looked up first, which is a job; given, they would save it.
+    """
+    of_plant = _newest(spark, folder).where(F.col("plant_id_eia") == ONE_PLANT)
+    ids = sorted(r[0] for r in of_plant.select("generator_id").distinct().collect())
+    table = op.transpose_attributes(of_plant, op.attribute_order(of_plant.columns), ids=ids)
+    cells = F.array(*[F.when(F.col(f"`{i}`").isNotNull(), F.concat(F.lit(f"{i}="), f"`{i}`")) for i in ids])
+    known = F.filter(cells, lambda c: c.isNotNull())
+    return table.select(
+        "attribute",
+        F.size(known).cast("long").alias("shown"),
+        F.array_join(known, ", ").alias("generators"),
     )
-    order = op.attribute_order(units.columns)
-    return op.transpose_attributes(units, order)

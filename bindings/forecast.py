@@ -9,6 +9,7 @@ from gridloom.operators import change
 from gridloom.operators import forecast as op
 from gridloom.plans.area import analyse_area
 from gridloom.plans.bias import BiasAnalysis, realized_demand
+from gridloom.sources.storage import shared_folder
 
 from .common import (
     DEMAND_SQL,
@@ -69,7 +70,8 @@ def _curve_sql(weight: str) -> str:
 
 
 def _demand_and_forecast(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    demand = realized_demand(hourly_demand(spark, folder), "demand_mwh")
+    hourly = hourly_demand(spark, folder)
+    demand = realized_demand(hourly, "demand_mwh", shared_folder(spark))
     return demand, forecasts_from(demand)
 
 
@@ -144,9 +146,7 @@ def coverage(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(_analysis(spark, folder).coverage)
 
 
-@register(
-    "respondent_curves",
-    f"""WITH {DEMAND_SQL},
+CURVES_SQL = f"""WITH {DEMAND_SQL},
     points AS (
       SELECT f.rid, report_year, forecast_year, forecast_year - report_year AS lookahead, peak,
         CASE WHEN summer IS NOT NULL AND winter IS NOT NULL THEN greatest(summer, winter) END
@@ -166,8 +166,10 @@ def coverage(spark: SparkSession, folder: str) -> DataFrame:
     SELECT rid AS respondent_id_ferc714, report_year, forecast_year, lookahead,
       round(forecast, 4) AS forecast, peak AS realized_peak, round(e, 4) + 0e0 AS error,
       round(g, 4) AS gradient, s_name AS name
-    FROM curves JOIN years USING (rid, report_year) LEFT JOIN supplier ON rid = s_suppkey""",
-)
+    FROM curves JOIN years USING (rid, report_year) LEFT JOIN supplier ON rid = s_suppkey"""
+
+
+@register("respondent_curves", CURVES_SQL)
 def respondent_curves(spark: SparkSession, folder: str) -> DataFrame:
     demand, forecast = _demand_and_forecast(spark, folder)
     curves = op.respondent_curves(
@@ -181,6 +183,25 @@ def respondent_curves(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(curves, 4)
 
 
+ONE_RESPONDENT = 7
+
+
+@register("respondent_curve_one", f"{CURVES_SQL} WHERE rid = {ONE_RESPONDENT}")
+def respondent_curve_one(spark: SparkSession, folder: str) -> DataFrame:
+    hourly = hourly_demand(spark, folder)
+    demand = realized_demand(hourly, "demand_mwh")
+    curves = op.respondent_curves(
+        forecasts_from(demand),
+        demand,
+        respondents(spark, folder),
+        ids=[ONE_RESPONDENT],
+        first_year=1995,
+        last_year=2000,
+        years_to_drop=YEARS_TO_DROP,
+    )
+    return tidy(curves, 4)
+
+
 @register(
     "trajectory",
     f"""WITH {DEMAND_SQL}
@@ -196,7 +217,7 @@ MIN_SHOWN = 250_000
 AREA_SQL = f"""
 ranked AS (
   SELECT o_custkey AS id, o_totalprice AS a,
-    date_diff('day', DATE '1970-01-01', o_orderdate) * 1000000000000 + o_orderkey AS seq,
+    o_orderdate AS day, o_orderkey AS seq,
     CAST(o_totalprice AS DECIMAL(18, 2)) AS exact,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS up,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS down
@@ -216,9 +237,9 @@ def _summary(spark: SparkSession, folder: str) -> DataFrame:
     return orders.join(customers, orders.o_custkey == customers.c_custkey).select(
         F.col("o_custkey").alias("id"),
         F.concat(F.lit("\t "), "c_name", F.lit(" ")).alias("name"),
-        # Day and order number in one whole number: customers order twice on some days, and
-        # an order by one plain column stays in a hash table.
-        (F.unix_date(F.to_date("o_orderdate")) * 10**12 + F.col("o_orderkey")).alias("seq"),
+        # Customers order twice on some days; the order number tells which came first.
+        F.col("o_orderdate").alias("day"),
+        F.col("o_orderkey").alias("seq"),
         F.col("o_totalprice").alias("a"),
         # Exact, so that a whole mean cannot fall just below itself before truncation.
         F.col("o_totalprice").cast("decimal(18,2)").alias("exact"),
@@ -228,8 +249,9 @@ def _summary(spark: SparkSession, folder: str) -> DataFrame:
 def _area(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     summary = _summary(spark, folder)
     return analyse_area(
-        summary, "id", "name", "exact", "a", ["seq"], min_shown_demand=MIN_SHOWN
-    )
+        summary, "id", "name", "exact", "a", ["day", "seq"], min_shown_demand=MIN_SHOWN,
+        folder=shared_folder(spark),
+    )
 
 
 @register(
@@ -249,7 +271,7 @@ def area_change(spark: SparkSession, folder: str) -> DataFrame:
     shown AS (
       SELECT listed.*, (log10(demand) - lo) / (hi - lo) AS g FROM listed, span
       WHERE demand >= {MIN_SHOWN})
-    SELECT id, name, seq, demand, round((a - first_area) / first_area * 100, 4) + 0e0
+    SELECT id, name, day, seq, demand, round((a - first_area) / first_area * 100, 4) + 0e0
       AS pct_change, round(g, 4) AS gradient, round(g * g, 4) AS alpha
     FROM ranked JOIN shown USING (id)""",
 )

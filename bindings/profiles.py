@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,13 +72,17 @@ def snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "exclude_prefixes",
-    """SELECT lpad(CAST(o_orderkey AS VARCHAR), 5, '0') AS county_id_fips, o_totalprice
-    FROM orders WHERE left(lpad(CAST(o_orderkey AS VARCHAR), 5, '0'), 2)
-      NOT IN ('02', '15', '60', '66', '69', '72', '78')""",
+    """WITH ids AS (
+      SELECT CASE WHEN o_orderkey < 10000 THEN lpad(CAST(o_orderkey AS VARCHAR), 5, '0')
+        ELSE CAST(o_orderkey AS VARCHAR) END AS county_id_fips, o_totalprice FROM orders)
+    SELECT * FROM ids
+    WHERE left(county_id_fips, 2) NOT IN ('02', '15', '60', '66', '69', '72', '78')""",
 )
 def exclude_prefixes(spark: SparkSession, folder: str) -> DataFrame:
-    # The oracle's lpad, like this one, cuts ids of more than five digits.
-    ids = F.lpad(F.col("o_orderkey").cast("string"), 5, "0").alias("county_id_fips")
+    # Padding to five digits would cut longer ids.
+    text = F.col("o_orderkey").cast("string")
+    ids = F.when(F.col("o_orderkey") < 10_000, F.lpad(text, 5, "0")).otherwise(text)
+    ids = ids.alias("county_id_fips")
     return op.exclude_prefixes(read(spark, folder, "orders").select(ids, "o_totalprice"))
 
 
@@ -104,15 +110,23 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _wide_sql() -> str:
-    kinds = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    cells = [
-        f"sum(CASE WHEN p_type = '{k}' AND l_returnflag = '{f}' THEN l_quantity END)"
-        f' AS "{k}__{f.lower()}"'
-        for k in kinds
-        for f in "ANR"
-    ]
-    return f"""SELECT CAST(year(l_shipdate) AS INTEGER) AS ship_year,
+KINDS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+HEADERS = [f"{k}__{f.lower()}" for k in KINDS for f in "ANR"]
+SHIPPED = {
+    "quantity": "sum({} l_quantity END)",
+    "lines": "count({} 1 END)",
+    "largest": "max({} l_quantity END)",
+}
+
+
+def _wide_sql(value: str = SHIPPED["quantity"], extra: str = "") -> str:
+    cells = []
+    for k in KINDS:
+        for f in "ANR":
+            case = value.format(f"CASE WHEN p_type = '{k}' AND l_returnflag = '{f}' THEN")
+            # A combination without shipments is missing, not 0.
+            cells.append(f'CAST(nullif({case}, 0) AS DOUBLE) AS "{k}__{f.lower()}"')
+    return f"""SELECT {extra}CAST(year(l_shipdate) AS INTEGER) AS ship_year,
       CAST(month(l_shipdate) AS INTEGER) AS ship_month, {", ".join(cells)}
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"""
 
@@ -128,30 +142,47 @@ def _tall(spark: SparkSession, folder: str) -> DataFrame:
             "p_type",
             "l_returnflag",
         )
-        .agg(F.sum("l_quantity").alias("quantity"))
+        .agg(
+            F.sum("l_quantity").alias("quantity"),
+            F.count(F.lit(1)).cast("double").alias("lines"),
+            F.max("l_quantity").alias("largest"),
+        )
     )
 
 
 @register("wide_reshape", _wide_sql())
 def wide_reshape(spark: SparkSession, folder: str) -> DataFrame:
     return op.wide(
-        _tall(spark, folder), ["quantity"], ["ship_year", "ship_month"], "p_type", "l_returnflag"
+        _tall(spark, folder),
+        ["quantity"],
+        ["ship_year", "ship_month"],
+        "p_type",
+        "l_returnflag",
+        HEADERS,
     )
 
 
-@register("csv_export", _wide_sql())
+@register(
+    "csv_export",
+    " UNION ALL ".join(_wide_sql(v, f"'{m}' AS measure, ") for m, v in SHIPPED.items()),
+)
 def csv_export(spark: SparkSession, folder: str) -> DataFrame:
-    """The wide table written to CSV and read back with declared types."""
+    """Three wide tables written to CSV and read back with declared types."""
     target = new_folder(spark)
     tables = export_wide(
         _tall(spark, folder),
         target,
-        ["quantity"],
+        list(SHIPPED),
         ["ship_year", "ship_month"],
         "p_type",
         "l_returnflag",
+        HEADERS,
     )
-    return read_csv(spark, f"{target}/quantity", tables["quantity"].schema)
+    read_back = [
+        read_csv(spark, f"{target}/{m}", t.schema).withColumn("measure", F.lit(m))
+        for m, t in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, read_back)
 
 
 @register(
@@ -192,9 +223,7 @@ def histogram_total(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(op.histogram(read(spark, folder, "lineitem"), "l_tax"))
 
 
-@register(
-    "county_histograms",
-    """WITH v AS (
+COUNTY_SQL = """WITH v AS (
       SELECT l_suppkey AS k, s_name, s_nationkey, l_tax + l_discount AS x
       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
     tops AS (SELECT k, s_name, s_nationkey, max(x) AS m FROM v GROUP BY ALL),
@@ -207,11 +236,28 @@ def histogram_total(spark: SparkSession, folder: str) -> DataFrame:
     SELECT k AS county_id_fips, bin, round(bin * 1e-2, 6) AS bin_start, coalesce(n, 0) AS n,
       round(m, 6) AS max_value, 'county: ' || s_name || '; state: ' || s_nationkey
         || '; gen: charge; max:' || printf('%.2f', m) AS title
-    FROM tops CROSS JOIN edges LEFT JOIN counts USING (k, bin)""",
-)
+    FROM tops CROSS JOIN edges LEFT JOIN counts USING (k, bin)"""
+
+
+@register("county_histograms", COUNTY_SQL)
 def county_histograms(spark: SparkSession, folder: str) -> DataFrame:
+    return tidy(op.county_histograms(_counties(spark, folder), "charge"))
+
+
+ONE_COUNTY = 7
+
+
+@register(
+    "county_histogram_one",
+    f"{COUNTY_SQL} WHERE k = {ONE_COUNTY}",
+)
+def county_histogram_one(spark: SparkSession, folder: str) -> DataFrame:
+    return tidy(op.county_histograms(_counties(spark, folder), "charge", fips=ONE_COUNTY))
+
+
+def _counties(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers as counties."""
-    lines = (
+    return (
         read(spark, folder, "lineitem")
         .join(read(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
@@ -222,7 +268,6 @@ def county_histograms(spark: SparkSession, folder: str) -> DataFrame:
             (F.col("l_tax") + F.col("l_discount")).alias("capacity_factor_charge"),
         )
     )
-    return tidy(op.county_histograms(lines, "charge"))
 
 
 STATISTICS_SQL = """

@@ -32,15 +32,26 @@ def reconcile_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "reconcile_shared",
-    f"""SELECT o_orderkey AS order_key, o_totalprice AS reported, round(s, 2) AS calculated
-    FROM orders JOIN ({PARTS_SQL}) ON k = o_orderkey WHERE o_orderstatus = 'F'""",
+    """WITH total AS (
+      SELECT o_custkey AS party, o_orderdate AS day, sum(o_totalprice) AS reported
+      FROM orders GROUP BY ALL),
+    parts AS (
+      SELECT l_suppkey AS party, l_shipdate AS day, sum(l_extendedprice) AS s
+      FROM lineitem GROUP BY ALL)
+    SELECT party, day, round(reported, 2) AS reported, round(s, 2) AS calculated
+    FROM total JOIN parts USING (party, day)""",
 )
 def reconcile_shared(spark: SparkSession, folder: str) -> DataFrame:
-    finished = _orders(spark, folder).where(F.col("o_orderstatus") == "F")
-    lines = _lines(spark, folder)
-    return tidy(
-        op.reconcile_shared(finished, lines, ["order_key"], "o_totalprice", "l_extendedprice"), 2
+    """Customers' orders and suppliers' shipments of a day: few keys are on both sides."""
+    total = (
+        read(spark, folder, "orders")
+        .groupBy(F.col("o_custkey").alias("party"), F.col("o_orderdate").alias("day"))
+        .agg(F.sum("o_totalprice").alias("o_totalprice"))
+    )
+    parts = read(spark, folder, "lineitem").withColumnsRenamed(
+        {"l_suppkey": "party", "l_shipdate": "day"}
     )
+    return tidy(op.reconcile(total, parts, ["party", "day"], "o_totalprice", "l_extendedprice"), 2)
 
 
 @register(

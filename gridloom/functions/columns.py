@@ -101,4 +101,5 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def strip_prefix(df: DataFrame, prefix: str) -> DataFrame:
     """Removes a prefix from the column names that start with it."""
-    return df.toDF(*[c.replace(prefix, "") if c.startswith(prefix) else c for c in df.columns])
+    own = [c for c in df.columns if c.startswith(prefix)]
+    return df.withColumnsRenamed({c: c.removeprefix(prefix) for c in own})

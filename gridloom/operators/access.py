@@ -33,10 +33,18 @@ def date_slice(
     end: date | str,
     date_col: str,
     authority_col: str = DELIVERY_AUTHORITY,
+    whole_days: bool = False,
 ) -> DataFrame:
-    """Rows of one authority between two days, both included."""
-    day = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
-    rows = df.where(named(date_col).between(*day))
+    """Rows of one authority between two days.
+
+    Both days are included for a column of dates. A column of timestamps is compared with
+    midnight, so of the last day only that moment counts, unless ``whole_days`` is set.
+    """
+    first, last = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
+    inside = named(date_col).between(first, last)
+    if whole_days:
+        inside = (named(date_col) >= first) & (named(date_col) < F.date_add(last, 1))
+    rows = df.where(inside)
     return rows if authority is None else rows.where(named(authority_col) == authority)
 
 

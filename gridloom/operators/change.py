@@ -29,10 +29,11 @@ def area_changes(
     Entities need a mean demand, kept as a whole number. A first area of 0 gives no change
     and drops the entity.
     """
-    # A single order column keeps the large aggregation, by entity and name, on plain values
-    # that fit a hash table; the second one sees a row per entity and name.
-    when = named(order[0]) if len(order) == 1 else F.struct(*[named(c) for c in order])
-    when_known = F.when(named(area).isNotNull(), when)
+    # The value itself orders rows of the same moment, so that ties give one answer.
+    when = F.struct(*[named(c) for c in order])
+    when_known = F.when(
+        named(area).isNotNull(), F.struct(*[named(c) for c in order], named(area).alias("__tie"))
+    )
     by_name = (
         df.where(named(entity).isNotNull())
         .groupBy(named(entity), named(name).alias("__name"))
@@ -48,7 +49,7 @@ def area_changes(
     )
     mean = F.try_divide(F.sum("__demand"), F.sum("__n"))
     firsts = by_name.groupBy(entity).agg(
-        strip_ws(F.min_by("__name", "__since")).alias("name"),
+        strip_ws(F.min_by("__name", F.struct("__since", "__name"))).alias("name"),
         mean.cast("long").alias("demand"),
         F.min_by("__first_area", "__first").alias("first_area"),
         F.max_by("__last_area", "__last").alias("last_area"),
@@ -70,7 +71,7 @@ def area_change_series(
 ) -> DataFrame:
     """Percent change since the first area, with an opacity that grows with demand.
 
-    ``changed`` is the result of ``area_changes``, best stored first. The gradient runs over
+    ``changed`` is the result of ``area_changes``. The gradient runs over
     all changed entities in log10 of demand; the display limit comes after it.
     """
     span = changed.agg(F.min("demand").alias("low"), F.max("demand").alias("high"))

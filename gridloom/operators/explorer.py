@@ -9,13 +9,12 @@ from collections.abc import Mapping, Sequence
 from itertools import chain
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, isin_nullsafe, named, sum0, year_range
 from ..functions.guards import only_value
 from ..functions.labels import counted_values, name_with_id, option_text, text_or
-from ..sources.storage import stored
 
 PLANT = "plant_id_eia"
 PLANT_NAME = "plant_name_eia"
@@ -44,10 +43,15 @@ LOCATION_ATTRIBUTES = (
     "longitude",
 )
 
-# Columns of the yearly generator table that describe the plant.
+# Columns of the yearly generator table that describe the plant. Plant and date
+# stay as keys, since these functions work on many plants at once.
 PLANT_LEVEL_COLUMNS = (
+    "plant_id_eia",
+    "report_date",
+    "plant_id_pudl",
     "plant_name_eia",
     "utility_id_eia",
+    "utility_id_pudl",
     "utility_name_eia",
     "balancing_authority_code_eia",
     "balancing_authority_name_eia",
@@ -113,18 +117,10 @@ def _options(df: DataFrame, within: Sequence[str], option: Mapping[str, Column])
 def _flag_default(
     options: DataFrame, within: Sequence[str], order: Column, newest: bool = False
 ) -> DataFrame:
-    """Marks the first option of each group in the given order (the last, if ``newest``).
-
-    The options are stored, as both the list and the default of each group read them.
-    """
-    options = stored(options)
-    pick = F.max if newest else F.min
-    best = options.groupBy(*within).agg(pick(order).alias("__best"))
-    return (
-        options.join(best, list(within))
-        .withColumn("is_default", F.coalesce(order == F.col("__best"), F.lit(False)))
-        .drop("__best")
-    )
+    """Marks the first option of each group in the given order (the last, if ``newest``)."""
+    group = Window.partitionBy(*[named(c) for c in within])
+    best = (F.max if newest else F.min)(order).over(group)
+    return options.withColumn("is_default", F.coalesce(order == best, F.lit(False)))
 
 
 def state_options(
@@ -222,6 +218,15 @@ def monthly_slice(
     return rows.where(year_range(date, first_year, last_year))
 
 
+def months_of_records(
+    monthly: DataFrame, records: DataFrame, plant: str = PLANT, date: str = DATE
+) -> DataFrame:
+    """Monthly rows of the year of their plant's record; each plant has one record."""
+    years = records.select(named(plant), F.year(named(date)).alias("__year")).distinct()
+    rows = monthly.withColumn("__year", F.year(named(date)))
+    return rows.join(years, [plant, "__year"], "left_semi").select(monthly.columns)
+
+
 def generator_rows(
     generators: DataFrame,
     drop: Sequence[str] = PLANT_LEVEL_COLUMNS,
@@ -245,17 +250,16 @@ def at_records(
 
 def generator_slice(
     generators: DataFrame,
-    records: DataFrame,
+    records: DataFrame | None,
     drop: Sequence[str] = PLANT_LEVEL_COLUMNS,
     plant: str = PLANT,
     date: str = DATE,
 ) -> DataFrame:
     """Distinct generator rows of the given plant records.
 
-    Rows become distinct before they meet the records: spread over all their columns, not
-    gathered by plant.
+    Rows meet the records first, so that only the wanted ones are compared.
     """
-    return at_records(generator_rows(generators, drop, plant, date), records, plant, date)
+    return generator_rows(at_records(generators, records, plant, date), drop, plant, date)
 
 
 # Summary and cards ---------------------------------------------------------------------
@@ -297,7 +301,7 @@ def plant_summary(
     # Counted per value first, so that a plant arrives as a few rows however many
     # generators it has.
     counts = (
-        generator_rows(generators, drop, plant, date)
+        generator_slice(generators, records, drop, plant, date)
         .select(*[named(k) for k in key], F.inline(sides))
         .groupBy(*key, "side", "value")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("mw").alias("mw"))
@@ -324,7 +328,7 @@ def plant_summary(
     used = F.filter(
         F.coalesce("__fuels", F.array()), lambda f: f["since"] <= F.year(named(date))
     )
-    return at_records(summary, records, plant, date).join(by_plant, plant, "left").select(
+    return summary.join(by_plant, plant, "left").select(
         *key,
         F.array_join(F.transform(used, lambda f: f["fuel"]), ", ").alias("fuel_types"),
         "capacity_mw",
@@ -370,6 +374,7 @@ def net_generation_by_generator(
     return monthly.select(named(plant), named(date), named(generator), named(value))
 
 
+# The words of the titles and messages below.
 def chart_title(
     name: Column | str = PLANT_NAME,
     city: Column | str = "city",
@@ -394,8 +399,8 @@ def generator_coverage(
     """Generators with monthly data beside generators on record, for plants with such data.
 
     ``generators`` is the yearly table or a slice of it, ``records`` the one record wanted
-    of each plant. A missing generator id counts as one more generator. The message is null unless some
-    generator lacks data.
+    of each plant. A missing generator id counts as one more generator. The message is null
+    unless some generator lacks data.
     """
     seen = monthly.groupBy(named(plant)).agg(
         (
@@ -404,11 +409,11 @@ def generator_coverage(
         ).alias("n_with_data")
     )
     recorded = (
-        generator_rows(generators, drop, plant, date)
+        generator_slice(generators, records, drop, plant, date)
         .groupBy(named(plant), named(date))
         .agg(F.count(F.lit(1)).alias("n_on_record"))
+        .drop(date)
     )
-    recorded = at_records(recorded, records, plant, date).drop(date)
     text = F.concat(
         F.lit("Generation data available for "), F.col("n_with_data").cast("string"),
         F.lit(" of "), F.col("n_on_record").cast("string"),
@@ -427,28 +432,27 @@ def facet_options(
     """Options of each facet with their row counts; a missing value is an option too.
 
     A facet without any known value is left out. ``only_option`` marks a facet with one
-    option, which is then chosen from the start. The counts are stored, as both the
-    options and the size of their facet come from them.
+    option, which is then chosen from the start. Rows are counted per option first; a facet's
+    options then meet in a window.
     """
     keys = list(keys)
     texts = generators.dropna(subset=keys).select(
         *[named(k).alias(f"__key_{k}") for k in keys],
         *[named(f).cast("string").alias(f) for f in facets],
     ).unpivot([f"__key_{k}" for k in keys], list(facets), "facet", "value")
-    counts = stored(
+    counts = (
         texts.withColumnsRenamed({f"__key_{k}": k for k in keys})
         .groupBy(*keys, "facet", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    sizes = (
-        counts.groupBy(*keys, "facet")
-        .agg(
-            F.count(F.lit(1)).alias("__options"),
-            F.count("value").alias("__known"),
-        )
-        .where("__known > 0")
+    facet = Window.partitionBy(*[named(k) for k in keys], "facet")
+    sized = counts.withColumns(
+        {
+            "__options": F.count(F.lit(1)).over(facet),
+            "__known": F.count("value").over(facet),
+        }
     )
-    return counts.join(sizes, [*keys, "facet"]).select(
+    return sized.where("__known > 0").select(
         *keys,
         "facet",
         "value",
@@ -497,12 +501,16 @@ def attribute_order(
     operation: Sequence[str] = OPERATION_COLUMNS,
     energy: Sequence[str] | None = None,
     generator: str = GENERATOR,
+    keys: Sequence[str] = (PLANT, DATE),
 ) -> list[str]:
-    """Operation columns, energy columns, then the remaining ones by name."""
+    """Operation columns, energy columns, then the remaining ones by name.
+
+    The generator and the key columns are no attributes.
+    """
     energy = energy_columns() if energy is None else energy
     first = [c for c in chain(operation, energy) if c in columns]
     rest = sorted(set(columns) - set(operation) - set(energy))
-    return [c for c in dict.fromkeys([*first, *rest]) if c != generator]
+    return [c for c in dict.fromkeys([*first, *rest]) if c not in {generator, *keys}]
 
 
 def attributes_long(

@@ -89,12 +89,13 @@ def match_realized(
     respondent: str = RESPONDENT,
     carried: Sequence[str] = (),
 ) -> DataFrame:
-    """Forecasts whose forecast year has realized demand, with the realized peak."""
-    peaks = realized_demand.select(
-        named(respondent),
-        F.col("year").alias("forecast_year"),
-        "realized_peak",
-        *[named(c) for c in carried],
+    """Forecasts whose forecast year has realized demand, with the realized peak.
+
+    A respondent and year that occur twice in the realized demand fail the query.
+    """
+    twice = "realized demand repeats a respondent and year"
+    peaks = realized_demand.groupBy(named(respondent), F.col("year").alias("forecast_year")).agg(
+        *[only_value(c, twice).alias(c) for c in ("realized_peak", *carried)]
     )
     return forecasts.join(peaks, [respondent, "forecast_year"], "inner")
 
@@ -223,8 +224,10 @@ def weighted_bias(
     weights = {"peak": "realized_peak", "total": "realized_total_demand"}
     if end_weighting not in weights:
         raise ValueError("end_weighting must be 'peak' or 'total'")
-    weight = realized_demand.where(F.col("year") == load_weight_year).select(
-        named(respondent), F.col(weights[end_weighting]).alias("__weight")
+    weight = (
+        realized_demand.where(F.col("year") == load_weight_year)
+        .groupBy(named(respondent))
+        .agg(only_value(weights[end_weighting], "realized demand repeats").alias("__weight"))
     )
     sums = bias.join(weight, respondent, "inner").agg(
         sum0("__weight").alias("__all"),

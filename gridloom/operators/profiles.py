@@ -12,7 +12,6 @@ from ..functions.bins import bin_index
 from ..functions.columns import all_of, has_prefix, named, strip_prefix
 from ..functions.guards import only_value
 from ..functions.labels import fixed, place_header, title_words
-from ..sources.storage import stored
 
 FIPS = "county_id_fips"
 TIME = "datetime_utc"
@@ -63,19 +62,19 @@ def snapshot(df: DataFrame, moment: datetime | str, time_col: str = TIME) -> Dat
 def numbered_times(times: DataFrame, time_col: str = TIME) -> DataFrame:
     """Distinct times numbered 0, 1, 2, ... in order.
 
-    Times are numbered within their hour, and the hours are counted up; so no task sorts
-    more than one hour of distinct times or one row per hour.
+    Times are numbered within their month, and the months are counted up; so no task sorts
+    more than the distinct times of one month or one row per month.
     """
-    hour = F.date_trunc("hour", named(time_col))
-    distinct = stored(times.select(named(time_col)).distinct().withColumn("__hour", hour))
-    earlier = Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = distinct.groupBy("__hour").agg(F.count(F.lit(1)).alias("__n"))
+    block = F.date_trunc("month", named(time_col))
+    distinct = times.select(named(time_col)).distinct().withColumn("__block", block)
+    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = distinct.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
     offsets = offsets.select(
-        "__hour", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset")
+        "__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset")
     )
-    within = Window.partitionBy("__hour").orderBy(named(time_col))
+    within = Window.partitionBy("__block").orderBy(named(time_col))
     place = distinct.withColumn("__rank", F.row_number().over(within) - 1)
-    return place.join(offsets, "__hour").select(
+    return place.join(offsets, "__block").select(
         named(time_col), (F.col("__offset") + F.col("__rank")).alias("frame")
     )
 
@@ -97,7 +96,7 @@ def frames(
     )
     shown = rows.join(places, key, "inner")
     present = rows.join(places.select(named(key)).distinct(), key, "left_semi")
-    numbers = stored(numbered_times(present, time_col))
+    numbers = numbered_times(present, time_col)
     title = F.concat(
         F.lit(f"{title_words(column)} "), named(time_col).cast("string"), F.lit(" UTC")
     )
@@ -186,6 +185,7 @@ def histogram(
     )
 
 
+# The words of the titles.
 def histogram_title(
     place: Column | str, state: Column | str, generation_type: str, maximum: Column | str
 ) -> Column:
@@ -211,18 +211,44 @@ def county_histograms(
     The title holds the earliest name of the county.
     """
     rows = profiles if fips is None else profiles.where(named(key) == fips)
-    rows = rows.where(named(key).isNotNull())
-    seen = rows.groupBy(
-        named(key), named(place_col).alias("__place"), named(state_col).alias("__state")
-    ).agg(F.min(named(time_col)).alias("__since"))
-    first = F.min_by(F.struct("__place", "__state"), "__since").alias("__first")
-    names = seen.groupBy(key).agg(first).select(key, "__first.*")
-    title = histogram_title("__place", "__state", generation_type, "max_value")
-    return (
-        histogram(rows, f"{prefix}{generation_type}", by=[key])
-        .join(names, key)
-        .withColumn("title", title)
-        .drop("__place", "__state")
+    # One pass: counts per bin and name, from which histogram, largest value and name follow.
+    bins, low, high = 100, 0.0, 1.0
+    value = f"{prefix}{generation_type}"
+    counts = (
+        rows.where(named(key).isNotNull())
+        .select(
+            named(key),
+            named(place_col).alias("__place"),
+            named(state_col).alias("__state"),
+            named(time_col).alias("__time"),
+            named(value).cast("double").alias("__value"),
+            bin_index(value, bins, low, high).alias("__bin"),
+        )
+        .groupBy(key, "__place", "__state", "__bin")
+        .agg(
+            F.count(F.lit(1)).alias("__n"),
+            F.max("__value").alias("__max"),
+            F.min("__time").alias("__since"),
+        )
+    )
+    groups = counts.groupBy(key).agg(
+        F.collect_list(F.when(F.col("__bin").isNotNull(), F.struct("__bin", "__n"))).alias("__hist"),
+        F.max("__max").alias("max_value"),
+        F.min(
+            F.when(F.col("__since").isNotNull(), F.struct("__since", "__place", "__state"))
+        ).alias("__first"),
+    )
+    edges = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    own = F.filter("__hist", lambda e: e["__bin"] == F.col("bin"))
+    return groups.select(key, edges, "__hist", "max_value", "__first").select(
+        key,
+        "bin",
+        (F.col("bin") * F.lit((high - low) / bins) + F.lit(low)).alias("bin_start"),
+        F.aggregate(own, F.lit(0).cast("long"), lambda n, e: n + e["__n"]).alias("n"),
+        "max_value",
+        histogram_title("__first.__place", "__first.__state", generation_type, "max_value").alias(
+            "title"
+        ),
     )
 
 

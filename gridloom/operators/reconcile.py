@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column, named, sum0
-from ..sources.storage import stored
 
 AUTHORITY = "balancing_authority_code_eia"
 TIME = "datetime_utc"
@@ -32,10 +31,12 @@ def sum_of_parts(
 
 
 def shared_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Key combinations present on both sides."""
-    columns = [named(k) for k in keys]
-    present = left.select(*columns).dropna()
-    return present.intersect(right.select(*columns))
+    """Key combinations present on both sides.
+
+    Both sides become distinct first, so a frequent key meets the join as one row.
+    """
+    sides = [df.select(*[named(k) for k in keys]).dropna().distinct() for df in (left, right)]
+    return sides[0].join(sides[1], list(keys), "left_semi")
 
 
 def reconcile(
@@ -57,25 +58,19 @@ def reconcile(
     if not complete_grid:
         return reported.join(sum_of_parts(parts, keys, part_col), keys, "inner")
 
-    cells = stored(parts.groupBy(*keys).agg(sum0(part_col).alias("calculated")))
+    # A cell that the parts hold needs no look at its single keys.
+    matched = reported.join(sum_of_parts(parts, keys, part_col), keys, "left")
+    empty = matched.where("calculated IS NULL")
     for key in keys:
-        reported = reported.join(cells.select(key).dropna().distinct(), key, "left_semi")
-    return reported.join(cells.dropna(subset=keys), keys, "left").select(
-        *keys, "reported", F.coalesce("calculated", F.lit(0)).alias("calculated")
+        empty = empty.join(parts.select(named(key)).dropna().distinct(), key, "left_semi")
+    zero = F.coalesce("calculated", F.lit(0)).alias("calculated")
+    return (
+        matched.where("calculated IS NOT NULL")
+        .unionByName(empty.select(*keys, "reported", "calculated"))
+        .select(*keys, "reported", zero)
     )
 
 
-def reconcile_shared(
-    total: DataFrame,
-    parts: DataFrame,
-    keys: Sequence[str] = KEYS,
-    total_col: str = "demand_reported_mwh",
-    part_col: str = "demand_reported_mwh",
-) -> DataFrame:
-    """Reported total beside the sum of its subregions, on the keys both sides hold."""
-    return reconcile(total, parts, keys, total_col, part_col)
-
-
 def identity_check(
     df: DataFrame,
     reported: Column | str = "demand_reported_mwh",

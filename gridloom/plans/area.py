@@ -20,11 +20,15 @@ def analyse_area(
     order: Sequence[str] = ("report_date",),
     min_change_percent: float = op.MIN_CHANGE_PERCENT,
     min_shown_demand: float = op.MIN_SHOWN_DEMAND,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Changed entities (stored, one row each) and their series over time."""
+    """Changed entities, one row each, and their series over time.
+
+    The changed entities are stored below ``folder`` if one is named.
+    """
     lowered = lower_strings(summary)
     changed = stored(
-        op.area_changes(lowered, entity, name, demand, area, order, min_change_percent)
+        op.area_changes(lowered, entity, name, demand, area, order, min_change_percent), folder
     )
     series = op.area_change_series(lowered, changed, entity, area, order, min_shown_demand)
     return changed, series

@@ -13,12 +13,15 @@ from ..operators import forecast as op
 from ..sources.storage import stored
 
 
-def realized_demand(hourly: DataFrame, demand_col: str) -> DataFrame:
-    """Peak and total per respondent and year, stored.
+def realized_demand(
+    hourly: DataFrame, demand_col: str, folder: str | None = None
+) -> DataFrame:
+    """Peak and total per respondent and year, stored below ``folder`` if one is named.
 
-    This is the one scan of the hourly table; all that follows reads the stored rows.
+    Stored, this is the one scan of the hourly table, and all that follows reads its rows;
+    without a folder the plan stays lazy and every use aggregates what it needs.
     """
-    return stored(op.realized(hourly, demand_col))
+    return stored(op.realized(hourly, demand_col), folder)
 
 
 @dataclass(frozen=True)

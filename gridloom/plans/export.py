@@ -30,9 +30,10 @@ def export_wide(
     if len(measures) == 1:
         (only,) = measures
         table = wide(df, measures, time_cols, place_col, state_col, headers)
-        tables = {only: stored(table).orderBy(*time_cols)}
+        tables = {only: table.orderBy(*time_cols)}
     else:
-        combined = stored(wide(df, measures, time_cols, place_col, state_col, headers))
+        # Every measure is one write; the pass over the input they share is stored beside them.
+        combined = stored(wide(df, measures, time_cols, place_col, state_col, headers), folder)
         tables = {m: wide_measure(combined, m, measures, time_cols) for m in measures}
     for measure, table in tables.items():
         write_csv(table, f"{folder}/{measure}")

@@ -76,6 +76,17 @@ def test_same_date_needs_a_second_order_column(spark):
     assert rows(found) == [(1, "a", 5, 4.0, 6.0, 50.0)]
 
 
+def test_ties_give_one_answer(spark):
+    data = [(1, n, 1, x) for n, x in (("b", 5.0), ("a", 4.0), ("c", 9.0))]
+    data += [(1, n, 2, x) for n, x in (("b", 7.0), ("a", 6.0))]
+    df = spark.createDataFrame(data, "id int, n string, d int, x double")
+    found = {
+        str(rows(op.area_changes(df.repartition(k), "id", "n", "x", "x", ["d"])))
+        for k in (1, 2, 5)
+    }
+    assert found == {"[(1, 'a', 6, 4.0, 7.0, 75.0)]"}
+
+
 def test_lookups(spark):
     data = [(1, "dominion"), (1, "dominion"), (2, "old dominion"), (3, None), (4, "DOMINION")]
     df = spark.createDataFrame(data, "id int, name string")

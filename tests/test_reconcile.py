@@ -54,7 +54,7 @@ def test_sum_of_parts_does_not_depend_on_partitioning(parts):
 
 def test_shared_keys_and_shared_reconcile(total, parts):
     assert rows(op.shared_keys(total, parts, KEYS)) == [("A", 1), ("A", 2)]
-    assert rows(op.reconcile_shared(total, parts, KEYS, "total", "part")) == [
+    assert rows(op.reconcile(total, parts, KEYS, "total", "part")) == [
         ("A", 1, 10.0, 10.0), ("A", 2, 20.0, 0.0)
     ]
 
