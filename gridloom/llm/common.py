@@ -82,15 +82,17 @@ def words_of(batch: pa.RecordBatch, column: str) -> tuple[list[bytes], np.ndarra
 
     Row ``i`` holds the words ``codes[offsets[i]:offsets[i + 1]]``. Null reads as empty.
     """
-    known: dict[bytes, int] = {}
-    rows, counts = [], []
-    for text in pc.fill_null(pc.cast(batch.column(column), pa.binary()), b"").to_pylist():
-        found = text.lower().split()
-        counts.append(len(found))
-        rows += [known.setdefault(w, len(known)) for w in found]
-    offsets = np.zeros(len(counts) + 1, np.int64)
-    np.cumsum(counts, out=offsets[1:])
-    return list(known), np.array(rows, np.int64), offsets
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(column), "")))
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    known = pc.cast(coded.dictionary, pa.binary()).to_pylist()
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    # White space at either end of a text leaves an empty word.
+    if b"" not in known:
+        return known, codes, ends - ends[0]
+    kept = codes != known.index(b"")
+    before = np.concatenate([[0], np.cumsum(kept)])
+    return known, codes[kept], before[ends - ends[0]]
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

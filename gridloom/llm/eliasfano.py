@@ -45,17 +45,24 @@ _IN_BYTE = np.zeros((256, 8), np.uint8)
 for _byte in range(256):
     for _rank, _place in enumerate(k for k in range(8) if _byte >> k & 1):
         _IN_BYTE[_byte, _rank] = _place
-_ONES = np.uint64(0x0101010101010101)
+_IN_BYTE = _IN_BYTE.ravel()
+_ONES, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_BYTE, _SEVEN = np.uint64(0xFF), np.uint64(3)
 
 
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the ``rank``-th one (from 0) of every word."""
-    octets = words.view(np.uint8).reshape(-1, 8)
-    ends = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
-    octet = (ends <= rank[:, None]).sum(axis=1)
-    row = np.arange(len(words))
-    before = np.where(octet > 0, ends[row, octet - 1], 0)
-    return octet * 8 + _IN_BYTE[octets[row, octet], rank - before]
+    """Place of the ``rank``-th one (from 0) of every word.
+
+    One multiplication adds up the ones of a word's bytes, one subtraction compares all eight
+    sums with the rank, and a table gives the place within the byte.
+    """
+    rank = rank.astype(np.uint64)
+    ends = np.bitwise_count(words.view(np.uint8)).view(np.uint64) * _ONES
+    below = ((rank * _ONES | _HIGH) - ends) & _HIGH
+    shift = np.bitwise_count(below).astype(np.uint64) << _SEVEN
+    before = (ends << np.uint64(8)) >> shift & _BYTE
+    octet = words >> shift & _BYTE
+    return (shift + _IN_BYTE[octet << _SEVEN | (rank - before)]).astype(np.int64)
 
 
 class Sequence:

@@ -146,10 +146,18 @@ class Level:
             out[a + some[hit]] = self.offsets[k] + place[hit]
         return out
 
-    def values(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts, discounted probabilities and the counts of all before, at ascending places."""
+    def shares(self, places: np.ndarray) -> np.ndarray:
+        """Discounted probabilities at ascending places."""
+        cuts = np.searchsorted(places, self.offsets)
+        parts = [
+            restore(self.codes[k][places[cuts[k] : cuts[k + 1]] - self.offsets[k]])
+            for k in range(len(self.facts))
+        ]
+        return np.concatenate([np.zeros(0), *parts])
+
+    def values(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and the counts of all before, at ascending places."""
         counts, before = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
-        p = np.zeros(len(places))
         cuts = np.searchsorted(places, self.offsets)
         for k in range(len(self.facts)):
             a, b = cuts[k], cuts[k + 1]
@@ -158,8 +166,7 @@ class Level:
                 sums = self.counts[k].get(np.concatenate([at, at + 1])).astype(np.int64)
                 counts[a:b] = sums[b - a :] - sums[: b - a]
                 before[a:b] = self.before[k] + sums[: b - a]
-                p[a:b] = restore(self.codes[k][at])
-        return counts, p, before
+        return counts, before
 
 
 def level_shard(keys: np.ndarray, counts: np.ndarray, held_by: np.ndarray, facts: dict) -> bytes:
@@ -436,7 +443,7 @@ def train(
             found = Tokens.of(batch, trie.words)
             at, keys = found.pairs(trie.pairs).triples(found, trie.pairs)
             nodes, inverse = np.unique((keys >> np.uint64(32)).astype(np.int64), return_inverse=True)
-            counts, _, before = trie.pairs.values(nodes)
+            counts, before = trie.pairs.values(nodes)
             middle, which = np.unique(found.ids[found.code[at - 1]], return_inverse=True)
             ranks = np.maximum(trie.pairs.totals(middle)[0], 1)[which]
             share = (keys & np.uint64(0xFFFFFFFF)).astype(np.float64) / ranks
@@ -482,8 +489,7 @@ def log_probabilities(
     p = left[found.code[at - 1]] * single[found.code[at]]
     held = np.flatnonzero(pairs.place[at] >= 0)
     places, inverse = np.unique(pairs.place[at[held]], return_inverse=True)
-    counts, share, _ = trie.pairs.values(places)
-    p[held] += share[inverse]
+    p[held] += trie.pairs.shares(places)[inverse]
 
     # Where the pair before is known, it is the context and the pair's probability fills up.
     inner = np.flatnonzero(pairs.place[at - 1] >= 0)
@@ -495,7 +501,7 @@ def log_probabilities(
     place = trie.triples.find(unique)
     hit = np.flatnonzero(place >= 0)
     share = np.zeros(len(unique))
-    share[hit] = trie.triples.values(place[hit])[1]
+    share[hit] = trie.triples.shares(place[hit])
     p[np.searchsorted(at, where)] += share[inverse]
 
     row = np.searchsorted(found.offsets, at, side="right") - 1

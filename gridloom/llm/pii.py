@@ -74,8 +74,9 @@ def _order(span: Span) -> tuple[int, int, int]:
 # What may be an identifier without having a fixed shape: addresses spelled out or without a
 # domain, and groups of digits.
 LOOSE = re.compile(
-    r"(?P<email>[\w.%+-]+(?:@| ?[\[(]at[\])] ?)[\w-]+(?:(?:\.| ?[\[(]dot[\])] ?)[\w-]+)*)"
-    r"|(?P<digits>[(]?[0-9][0-9().:-]*(?: [0-9(][0-9().:-]*)*[0-9])"
+    r"(?P<email>(?<![\w.%+-])[\w.%+-]++(?:@| ?[\[(]at[\])] ?)[\w-]++"
+    r"(?:(?:\.| ?[\[(]dot[\])] ?)[\w-]++)*+)"
+    r"|(?P<digits>[(]?(?<![0-9])[0-9]++(?:[().:-]++ ?[0-9]++| [(]?[0-9]++)*+)"
 )
 
 
