@@ -197,12 +197,14 @@ class Trie:
     """The levels that are there, read from the files named."""
 
     def __init__(self, files: list[str]) -> None:
-        shards: dict[int, list] = {1: [], 2: [], 3: []}
+        # Statistics in a file's pages repeat a small value whole; a shard counts once.
+        shards: dict[int, dict[int, tuple]] = {1: {}, 2: {}, 3: {}}
         for name in files:
             for parts, facts in load(SparkFiles.get(name)):
-                shards[facts["level"]].append((parts, facts))
-        self.words = Vocabulary(shards[1])
-        self.pairs, self.triples = Level(shards[2]), Level(shards[3])
+                first = facts["first"] if facts["level"] == 1 else facts["first_key"]
+                shards[facts["level"]][first] = (parts, facts)
+        words, pairs, triples = (list(shards[level].values()) for level in (1, 2, 3))
+        self.words, self.pairs, self.triples = Vocabulary(words), Level(pairs), Level(triples)
 
 
 @dataclass
