@@ -1,0 +1,85 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from samples import EDGES, FOLDER, documents
+from gridloom.llm import language, linear, queries
+from gridloom.llm.common import crc_mod
+
+
+@pytest.fixture(scope="module")
+def model(small):
+    return language.train(small, crc_mod("doc_id", 3) != 1, bits=14)
+
+
+def test_held_out_accuracy(spark):
+    folder = FOLDER.replace("0.001", "0.01")
+    found = queries.QUERIES["op9_language_id"](spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    held = found.where("held_out").join(docs, "doc_id").collect()
+    right = sum(r["lang"] == r["lang_pred"] for r in held)
+    assert right / len(held) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in held)
+
+
+def test_edges(edges, model):
+    found = language.predict(edges, model, lang_as="lang_pred").collect()
+    assert len(found) == len(EDGES)
+    assert found[0].asDict().keys() == {*edges.columns, "lang_pred", "score"}
+    for row in found:
+        letters = any(map(str.isalpha, row["text"] or ""))
+        assert (row["lang_pred"] == "und") == (not letters)
+        assert 0 <= row["score"] <= 1 and (letters or row["score"] == 0)
+    twice = [(r["lang_pred"], r["score"]) for r in found if r["text"] == "repeated row"]
+    assert twice[0] == twice[1]
+
+
+def test_nothing_to_learn_or_read(spark, nothing, model):
+    assert language.predict(nothing, model).collect() == []
+    assert language.train(nothing) is None
+    unlabelled = documents(spark, [(1, "some text", None), (2, None, "en")])
+    assert language.train(unlabelled) is None
+    found = language.predict(unlabelled, None, lang_as="p").select("p", "score").collect()
+    assert [tuple(r) for r in found] == [("und", 0.0)] * 2
+
+
+def test_one_language_only(spark):
+    docs = documents(spark, [(k, f"text number {k}", "en") for k in range(6)])
+    found = language.predict(docs, language.train(docs, bits=10), lang_as="p")
+    assert {r["p"] for r in found.collect()} == {"en"}
+
+
+def test_labels_do_not_reach_a_prediction(small, model):
+    one = language.predict(small, model, lang_as="p")
+    other = language.predict(
+        small.withColumns({"lang": F.lit("xx"), "source": F.lit("y")}), model, lang_as="p"
+    )
+    assert [r["p"] for r in one.orderBy("doc_id").collect()] == [
+        r["p"] for r in other.orderBy("doc_id").collect()
+    ]
+
+
+def test_strong_l1_leaves_weights_at_zero():
+    rows = linear.Rows.of(
+        [(np.array([k % 2, 2 + k % 5], np.int32), np.ones(2, np.float32)) for k in range(200)]
+    )
+    labels = np.arange(200) % 2
+    sizes = []
+    for l1 in (0.0, 2.0, 50.0):
+        w, _ = linear.ftrl(
+            rows, labels, 2, 16, epochs=3, alpha=0.5, beta=1.0, l1=l1, l2=0.1
+        )
+        sizes.append(int((w != 0).sum()))
+    assert sizes[0] >= sizes[1] > sizes[2] == 0
+
+
+def test_temperature_cools_overconfident_scores():
+    rng = np.random.default_rng(0)
+    labels = rng.integers(0, 2, 4000)
+    flipped = np.where(rng.random(4000) < 0.2, 1 - labels, labels)
+    scores = 10.0 * np.eye(2)[flipped]
+    t = linear.temperature(scores, labels)
+    assert t > 1
+    assert abs(linear.softmax(scores / t).max(axis=1).mean() - 0.8) < 0.02
