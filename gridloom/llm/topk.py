@@ -324,15 +324,14 @@ def top_k(
     size, top = max(1, facts["size"] or 0), int(facts["top"] or 0)
     rate = min(1.0, sample_rows / max(1, facts["n"]))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < rate * 1_000_003)
-    drawn = drawn.orderBy("vec_id").limit(2 * sample_rows).toArrow().column("v").combine_chunks()
-    if isinstance(drawn, pa.ChunkedArray):
-        drawn = pa.concat_arrays(drawn.chunks) if drawn.num_chunks else pa.array([], pa.list_(pa.int64()))
-    centres = fit_pivots(_lifted(_matrix(drawn, size), top), pivots)
+    drawn = drawn.select("v").orderBy("vec_id").limit(2 * sample_rows).collect()
+    sample = pa.array([r["v"] for r in drawn], pa.list_(pa.int64()))
+    centres = fit_pivots(_lifted(_matrix(sample, size), top), pivots)
     pivots = len(centres)
 
     blocks = stored(_blocks(rows, size, top, centres, per_block))
-    asked = rows.withColumnRenamed("vec_id", "id").withColumnRenamed("id", id_column)
-    asked = asked.where(is_query).withColumnRenamed(id_column, "vec_id").dropDuplicates(["vec_id"])
+    asked = rows.withColumnRenamed("vec_id", id_column).where(is_query)
+    asked = asked.withColumnRenamed(id_column, "vec_id").dropDuplicates(["vec_id"])
     groups = stored(_query_groups(asked, size, centres, per_group))
 
     def meet(groups: DataFrame, home_only: bool) -> DataFrame:
