@@ -207,8 +207,16 @@ def keep_one(
     text has the smallest hash, and of rows equal in both any one.
     """
     prints, heads = _groups(docs, id_column, text_column, words)
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     rows = prints.join(heads.select("fingerprint", "component"), "fingerprint")
+    return one_of_each(docs, rows, id_column=id_column, text_column=text_column)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, *, id_column: str, text_column: str) -> DataFrame:
+    """The first row of every component; ``rows`` has the component, doc_id and text_hash of all.
+
+    First is the smallest id, null ids last, then the smallest hash of the text.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     counted = stored(rows.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n")))
     first = counted.groupBy("component").agg(F.min(order).alias("first"))
     first = first.select("component", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"))

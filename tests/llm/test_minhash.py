@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+import corpus_pipeline as pipeline
+from gridloom.llm import minhash, simhash
+from samples import EDGES, FOLDER, documents
+from test_simhash import brute_components
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute(rows, similarity=0.8):
+    """The smallest id of every group that pairs of this similarity or more reach."""
+    sets = [shingles(r[1]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (a and b and len(a & b) / len(a | b) >= similarity):
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r[0])
+    return sorted(min((d for d in g if d is not None), default=-1) for g in groups.values())
+
+
+def kept(df):
+    return sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in df.collect())
+
+
+def changed(count, edits, size=200, seed=1):
+    """Texts with up to ``edits`` changed words each: similarities on both sides of 0.8."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(size)]
+    rows = []
+    for k in range(count):
+        words = list(base)
+        for at in rng.sample(range(size), k % (edits + 1)):
+            words[at] = f"new{k}x{at}"
+        rows.append((1000 - k, " ".join(words)))
+    return rows
+
+
+def test_stage_drops_near_copies_that_few_bits_miss(spark):
+    """A pair of similarity 0.86 whose 64-bit fingerprints are more than 3 bits apart."""
+    rows = [(d, t) for d, t in changed(40, 3) if d in (1000, 997)]
+    assert len({r[2] for r in brute_components(rows)}) == 2 and brute(rows) == [997]
+    docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    assert kept(pipeline.without_near_copies(spark, docs, FOLDER)) == [997]
+
+
+@pytest.mark.parametrize("edits", [4, 12])
+def test_groups_against_brute_force(spark, edits):
+    rows = changed(80, edits) + [(2000 + k, f"lone text {k} {k * 7} {k * 31} words") for k in range(30)]
+    assert kept(minhash.keep_one(documents(spark, rows))) == brute(rows)
+
+
+def test_given_table_against_brute_force(spark):
+    docs = spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert kept(minhash.keep_one(docs)) == brute(rows)
+
+
+def test_edges(spark, edges, nothing):
+    assert minhash.keep_one(nothing).collect() == []
+    found = minhash.keep_one(edges)
+    assert found.columns == edges.columns
+    assert kept(found) == brute([r[:2] for r in EDGES])
+
+
+def test_bands_reach_the_probability():
+    bands = minhash.bands_for(0.8, 0.9999)
+    assert 1 - (1 - 0.8**minhash.ROWS) ** bands >= 0.9999
+    assert 1 - (1 - 0.8**minhash.ROWS) ** (bands - 1) < 0.9999
+
+
+def test_the_operator_keeps_its_contract(spark):
+    rows = changed(40, 3)
+    found = sorted((tuple(r) for r in simhash.near_duplicates(documents(spark, rows)).collect()), key=str)
+    assert found == brute_components(rows)
