@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -226,13 +227,16 @@ def bootstrap(
     ).select("pattern", "kind", "confidence", "support")
 
 
-def trusted(found: DataFrame, most: int = 100_000) -> dict[str, str]:
-    """Kind by pattern, of the ``most`` best supported patterns: the size of the model."""
-    rows = found.orderBy(F.desc("support"), F.desc("confidence"), "pattern", "kind").limit(most)
-    kinds: dict[str, str] = {}
-    for row in rows.collect():
-        kinds.setdefault(row["pattern"], row["kind"])
-    return kinds
+def trusted(found: DataFrame, most: int = 100_000) -> dict[str, str] | DataFrame:
+    """Kind by pattern, of all patterns: the kind with the best support, then confidence.
+
+    Up to ``most`` patterns come as a dictionary, which tasks get whole; more stay a stored
+    table (pattern, kind), which texts are joined with. Both find the same.
+    """
+    order = F.struct(-F.col("support"), -F.col("confidence"), "kind")
+    kinds = stored(found.groupBy("pattern").agg(F.min_by("kind", order).alias("kind")))
+    rows = kinds.limit(most + 1).collect()
+    return kinds if len(rows) > most else {r["pattern"]: r["kind"] for r in rows}
 
 
 def spans(text: str, known: dict[str, str]) -> tuple[list[Span], list[Span]]:
@@ -249,13 +253,61 @@ def spans(text: str, known: dict[str, str]) -> tuple[list[Span], list[Span]]:
     return base, sorted(base + added, key=_order)
 
 
+def _asked(texts: DataFrame) -> DataFrame:
+    """Distinct (text_hash, pattern): what surrounds the loose matches of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = set()
+            for text_hash, text in zip(batch.column("text_hash").to_pylist(), texts_of(batch, "text")):
+                if MAY_HOLD.search(text):
+                    for _, start, end in candidates(text, base_spans(text)):
+                        rows.update((text_hash, p) for p in patterns(text, start, end))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*sorted(rows)), (pa.int64(), pa.string()))],
+                    ["text_hash", "pattern"],
+                )
+
+    return texts.mapInArrow(run, "text_hash long, pattern string").distinct()
+
+
+def _with_hits(docs: DataFrame, known: DataFrame, text_column: str) -> DataFrame:
+    """``docs`` with a column more: the trusted patterns around each text's loose matches.
+
+    The column holds patterns and kinds by turns, null where there are none; a text's list is
+    bounded by its own matches.
+    """
+    text_hash = F.xxhash64(named(text_column))
+    asked = _asked(docs.select(text_hash.alias("text_hash"), named(text_column).alias("text")))
+    hits = stored(
+        asked.join(known, "pattern")
+        .groupBy("text_hash")
+        .agg(F.flatten(F.collect_list(F.array("pattern", "kind"))).alias(HITS))
+    )
+    hits = hits.withColumnRenamed("text_hash", "_text_hash")
+    joined = docs.join(hits, text_hash == hits["_text_hash"], "left")
+    return joined.select(*map(named, docs.columns), HITS)
+
+
+HITS = "_pii_hits"
+
+
+def _known(batch: pa.RecordBatch, known: dict[str, str] | None) -> Iterator[dict[str, str]]:
+    """For each row the kinds of the patterns that may matter to it."""
+    if known is not None:
+        return itertools.repeat(known, batch.num_rows)
+    lists = batch.column(HITS).to_pylist()
+    return (dict(zip(held[::2], held[1::2])) if held else {} for held in lists)
+
+
 def written(found: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in found)
 
 
 def extract(
     docs: DataFrame,
-    known: dict[str, str],
+    known: dict[str, str] | DataFrame,
     *,
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -266,11 +318,13 @@ def extract(
     reads as empty and has none; null ids pass through; repeated rows are searched each; equal
     starts go by kind; an empty table gives an empty result; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    joined = isinstance(known, DataFrame)
+    shared = docs.sparkSession.sparkContext.broadcast(None if joined else known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [spans(t, shared.value) for t in texts_of(batch, "text")]
+            told = zip(texts_of(batch, "text"), _known(batch, shared.value))
+            found = [spans(t, kinds) for t, kinds in told]
             counts = [
                 pa.array([sum(s[0] == kind for s in base) for base, _ in found], pa.int64())
                 for kind in KINDS
@@ -288,6 +342,8 @@ def extract(
     chosen = docs.select(
         named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text")
     )
+    if joined:
+        chosen = _with_hits(chosen, known, "text")
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return chosen.mapInArrow(run, f"doc_id long, base string, spans string, {counts}")
 
@@ -304,7 +360,7 @@ def masked(text: str, every: list[Span]) -> str:
 
 def redact(
     docs: DataFrame,
-    known: dict[str, str],
+    known: dict[str, str] | DataFrame,
     *,
     text_column: str = "text",
     length_column: str | None = "n_chars",
@@ -313,7 +369,8 @@ def redact(
 
     ``length_column``, where there is one, is brought up to date for the texts that changed.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    joined = isinstance(known, DataFrame)
+    shared = docs.sparkSession.sparkContext.broadcast(None if joined else known)
     names = docs.columns
     counted = length_column in names
 
@@ -321,7 +378,8 @@ def redact(
         for batch in slices(batches, text_column):
             columns = {c: batch.column(c) for c in names}
             old = batch.column(text_column).to_pylist()
-            new = [t and masked(t, spans(t, shared.value)[1]) for t in old]
+            told = zip(old, _known(batch, shared.value))
+            new = [t and masked(t, spans(t, kinds)[1]) for t, kinds in told]
             columns[text_column] = pa.array(new, batch.column(text_column).type)
             if counted:
                 lengths = batch.column(length_column)
@@ -331,4 +389,5 @@ def redact(
                 )
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return docs.mapInArrow(run, docs.schema)
+    read = _with_hits(docs, known, text_column) if joined else docs
+    return read.mapInArrow(run, docs.schema)

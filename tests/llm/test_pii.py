@@ -109,3 +109,21 @@ def test_redaction_replaces_spans_and_counts(spark):
     assert row["text"] == "mail <email> or <phone>, host <ip>, card <card>."
     assert row["n_chars"] == len(row["text"])
     assert pii.masked("abcdef", [("ip", 1, 4), ("card", 2, 5)]) == "a<ip>f"
+
+
+def test_patterns_beyond_a_broadcast_are_used(spark):
+    """What the patterns after the first find is found too, whichever way they are handed out."""
+    other = [(300 + k, f"our card number is 4111 1111 1111 {c} thanks, note {k}")
+             for k, c in enumerate(last for last in range(1000, 10_000) if pii.luhn(f"411111111111{last}")) if k < 20]
+    docs = taught(spark, [*other, (400, "our card number is 4111 1111 1111 1112 thanks"), (None, None),
+                          (100, "please reach me on 200-555-2000 today, note 0")])
+    found = pii.bootstrap(docs)
+    assert {r["kind"] for r in found.collect()} >= {"card", "phone"}
+    whole, cut = pii.trusted(found), pii.trusted(found, most=1)
+    want = sorted(map(str, pii.extract(docs, whole).collect()))
+    assert sum("card:" in r for r in want) == 21 and sum("phone:" in r for r in want) > 20
+    assert sorted(map(str, pii.extract(docs, cut).collect())) == want
+    masked = pii.redact(docs, cut)
+    assert masked.schema == docs.schema
+    assert sorted(map(str, masked.collect())) == sorted(map(str, pii.redact(docs, whole).collect()))
+    assert sum("<card>" in r["text"] for r in masked.where("text is not null").collect()) == 21
