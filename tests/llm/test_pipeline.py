@@ -73,3 +73,11 @@ def test_null_texts_and_ids(spark):
     for _, stage in pipeline.STAGES[:-1]:
         docs = stage(spark, docs, FOLDER).cache()
     assert texts(docs) == [(None, "a text without id"), (3, "some words to keep")]
+
+
+def test_without_languages_to_learn_from_only_texts_without_a_letter_go(spark):
+    rows = [(1, "clean text", None), (2, "Ünder", None), (3, "12 34 !", None), (4, None, None), (5, "", None), (None, "한국어", None)]
+    docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    left = pipeline.known_language(spark, docs, FOLDER)
+    assert left.schema == docs.schema
+    assert texts(left) == [(None, "한국어"), (1, "clean text"), (2, "Ünder")]
