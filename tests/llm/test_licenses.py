@@ -80,3 +80,14 @@ def test_bands_guarantee_the_probability():
     assert licenses.collision_probability(least, bands) >= 0.9999
     assert licenses.collision_probability(least, bands - 1) < 0.9999
     assert licenses.collision_probability(0.5, 4, 2) == pytest.approx(1 - 0.75**4)
+
+
+def test_whole_texts_and_other_wordings_are_found(spark):
+    texts = {name: text for name, text in licenses.TEMPLATES.items() if name.endswith("-full")}
+    assert {"Apache-2.0-full", "GPL-2-full", "GPL-3-full", "LGPL-2.1-full", "CC0-1.0-full"} <= set(texts)
+    rows = [(k, f"code of ours {text} and more of it") for k, text in enumerate(texts.values())]
+    rows += [(100, "this file is licensed under the MIT License and so on"), (101, licenses.NOTICES["ISC"]),
+             (102, licenses.NOTICES["Unlicense"]), (103, licenses.NOTICES["BSD-3-Clause"])]
+    got = {(d, name) for d, name, share, _ in found(documents(spark, rows)) if share == 1}
+    wanted = {*enumerate(texts), (100, "MIT-notice-1"), (101, "ISC"), (102, "Unlicense"), (103, "BSD-3-Clause")}
+    assert wanted <= got
