@@ -246,8 +246,9 @@ class _Index:
             return found
         # Places whose five words reach into the next row count for no window.
         edge = np.zeros(len(hashes) + 1, np.int64)
-        np.add.at(edge, starts, (counts > 0).astype(np.int64))
-        np.add.at(edge, starts + counts, -(counts > 0).astype(np.int64))
+        held = counts > 0
+        np.add.at(edge, starts[held], 1)
+        np.add.at(edge, (starts + counts)[held], -1)
         outside = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
         # A block of one size is two of the size below, so only the smallest reads every place.
         plans, below = [], None
