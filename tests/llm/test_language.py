@@ -67,7 +67,7 @@ def test_strong_l1_leaves_weights_at_zero():
     )
     labels = np.arange(200) % 2
     sizes = []
-    for l1 in (0.0, 2.0, 50.0):
+    for l1 in (0.0, 2.0, 1000.0):
         w, _ = linear.ftrl(
             rows, labels, 2, 16, epochs=3, alpha=0.5, beta=1.0, l1=l1, l2=0.1
         )
