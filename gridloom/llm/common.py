@@ -49,6 +49,14 @@ def without(docs: DataFrame, gone: DataFrame, condition: Column) -> DataFrame:
     return docs.join(gone, condition, "left_anti")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, lengthened until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def crc_mod(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of an id written as text, modulo ``divisor``; a null id counts as empty text."""
     column = named(doc_id) if isinstance(doc_id, str) else doc_id

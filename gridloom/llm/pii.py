@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named
-from .common import slices, stored, texts_of
+from .common import free_name, slices, stored, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -272,32 +272,32 @@ def _asked(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "text_hash long, pattern string").distinct()
 
 
-def _with_hits(docs: DataFrame, known: DataFrame, text_column: str) -> DataFrame:
-    """``docs`` with a column more: the trusted patterns around each text's loose matches.
+def _with_hits(docs: DataFrame, known: DataFrame, text_column: str, hits_as: str) -> DataFrame:
+    """``docs`` with column ``hits_as``: the trusted patterns around each text's loose matches.
 
     The column holds patterns and kinds by turns, null where there are none; a text's list is
     bounded by its own matches.
     """
+    own_hash = free_name(docs, "own_hash")
     text_hash = F.xxhash64(named(text_column))
     asked = _asked(docs.select(text_hash.alias("text_hash"), named(text_column).alias("text")))
     hits = stored(
         asked.join(known, "pattern")
         .groupBy("text_hash")
-        .agg(F.flatten(F.collect_list(F.array("pattern", "kind"))).alias(HITS))
+        .agg(F.flatten(F.collect_list(F.array("pattern", "kind"))).alias(hits_as))
     )
-    hits = hits.withColumnRenamed("text_hash", "_text_hash")
-    joined = docs.join(hits, text_hash == hits["_text_hash"], "left")
-    return joined.select(*map(named, docs.columns), HITS)
+    hits = hits.withColumnRenamed("text_hash", own_hash)
+    joined = docs.join(hits, text_hash == hits[own_hash], "left")
+    return joined.select(*map(named, docs.columns), hits_as)
 
 
-HITS = "_pii_hits"
-
-
-def _known(batch: pa.RecordBatch, known: dict[str, str] | None) -> Iterator[dict[str, str]]:
+def _known(
+    batch: pa.RecordBatch, known: dict[str, str] | None, hits: str
+) -> Iterator[dict[str, str]]:
     """For each row the kinds of the patterns that may matter to it."""
     if known is not None:
         return itertools.repeat(known, batch.num_rows)
-    lists = batch.column(HITS).to_pylist()
+    lists = batch.column(hits).to_pylist()
     return (dict(zip(held[::2], held[1::2])) if held else {} for held in lists)
 
 
@@ -323,7 +323,7 @@ def extract(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            told = zip(texts_of(batch, "text"), _known(batch, shared.value))
+            told = zip(texts_of(batch, "text"), _known(batch, shared.value, "hits"))
             found = [spans(t, kinds) for t, kinds in told]
             counts = [
                 pa.array([sum(s[0] == kind for s in base) for base, _ in found], pa.int64())
@@ -343,7 +343,7 @@ def extract(
         named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text")
     )
     if joined:
-        chosen = _with_hits(chosen, known, "text")
+        chosen = _with_hits(chosen, known, "text", "hits")
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return chosen.mapInArrow(run, f"doc_id long, base string, spans string, {counts}")
 
@@ -368,17 +368,19 @@ def redact(
     """All rows and columns of ``docs`` with personal data replaced by ``<kind>``.
 
     ``length_column``, where there is one, is brought up to date for the texts that changed.
+    Null and empty texts stay; texts of any length are read whole; repeated rows change alike;
+    an empty table gives an empty result; columns of any name keep their values.
     """
     joined = isinstance(known, DataFrame)
     shared = docs.sparkSession.sparkContext.broadcast(None if joined else known)
-    names = docs.columns
+    names, hits = docs.columns, free_name(docs, "hits")
     counted = length_column in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column):
             columns = {c: batch.column(c) for c in names}
             old = batch.column(text_column).to_pylist()
-            told = zip(old, _known(batch, shared.value))
+            told = zip(old, _known(batch, shared.value, hits))
             new = [t and masked(t, spans(t, kinds)[1]) for t, kinds in told]
             columns[text_column] = pa.array(new, batch.column(text_column).type)
             if counted:
@@ -389,5 +391,5 @@ def redact(
                 )
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    read = _with_hits(docs, known, text_column) if joined else docs
+    read = _with_hits(docs, known, text_column, hits) if joined else docs
     return read.mapInArrow(run, docs.schema)

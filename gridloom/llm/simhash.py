@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named
-from .common import slices, stored, without
+from .common import free_name, slices, stored, without
 from .components import components
 
 
@@ -204,37 +204,35 @@ def keep_one(
     """One row of every component of ``near_duplicates``, all columns kept.
 
     The row with the smallest id stays, null ids last; of rows that share it the one whose
-    text has the smallest hash, and of rows equal in both any one.
+    text has the smallest hash, and of rows equal in both any one. Null, empty and wordless
+    texts are one component; texts of any length are read whole; an empty table gives an empty
+    result; other columns keep their names and values.
     """
     prints, heads = _groups(docs, id_column, text_column, words)
     rows = prints.join(heads.select("fingerprint", "component"), "fingerprint")
-    return one_of_each(docs, rows, id_column=id_column, text_column=text_column)
-
-
-def one_of_each(docs: DataFrame, rows: DataFrame, *, id_column: str, text_column: str) -> DataFrame:
-    """The first row of every component; ``rows`` has the component, doc_id and text_hash of all.
-
-    First is the smallest id, null ids last, then the smallest hash of the text.
-    """
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     counted = stored(rows.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n")))
     first = counted.groupBy("component").agg(F.min(order).alias("first"))
     first = first.select("component", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"))
     stays = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
+    gone_id, gone_hash = free_name(docs, "gone_id"), free_name(docs, "gone_hash")
     gone = stored(
         counted.join(first, "component").where(~stays).select(
-            F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")
+            F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)
         )
     )
     own, text_hash = named(id_column).cast("long"), F.xxhash64(named(text_column))
-    kept = without(docs, gone, own.eqNullSafe(gone["gone_id"]) & (text_hash == gone["gone_hash"]))
+    kept = without(docs, gone, own.eqNullSafe(gone[gone_id]) & (text_hash == gone[gone_hash]))
     twice = stored(
-        counted.where("n > 1").select(F.col("doc_id").alias("twice_id"), F.col("text_hash").alias("twice_hash"))
+        counted.where("n > 1").select(
+            F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)
+        )
     )
     if twice.isEmpty():
         return kept
-    same = own.eqNullSafe(twice["twice_id"]) & (text_hash == twice["twice_hash"])
-    marked = kept.join(twice, same, "left_semi").withColumn("_hash", text_hash)
+    same = own.eqNullSafe(twice[gone_id]) & (text_hash == twice[gone_hash])
+    mark = free_name(docs, "hash")
+    marked = kept.join(twice, same, "left_semi").withColumn(mark, text_hash)
     return without(kept, twice, same).unionByName(
-        marked.dropDuplicates([id_column, "_hash"]).drop("_hash")
+        marked.dropDuplicates([id_column, mark]).drop(mark)
     )
