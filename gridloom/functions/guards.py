@@ -1,4 +1,4 @@
-"""Checks on keys: one that runs at once, one that runs inside the query it guards."""
+"""Checks on keys that run inside the query they guard."""
 
 from __future__ import annotations
 
@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from .columns import as_column, named
 
 
-def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
-    """Raises if a key combination repeats, null keys included; returns ``df`` unchanged."""
-    repeats = df.groupBy(*[named(k) for k in keys]).count().where("count > 1")
-    if not repeats.isEmpty():
-        raise ValueError(f"{what}: key {list(keys)} is not unique")
-    return df
+def unique_rows(df: DataFrame, keys: Sequence[str], message: str) -> DataFrame:
+    """The rows of ``df``; a query that reads them fails if a key, null ones included, repeats.
+
+    The rows are counted where a join on the same keys brings them anyway, so the check costs
+    neither a job nor a shuffle of its own.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    counted = df.groupBy(*map(named, keys)).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.first(named(c)).alias(c) for c in rest]
+    )
+    single = F.when(F.col("__n") > 1, F.raise_error(F.lit(message)).cast("boolean"))
+    return counted.where(single.otherwise(F.lit(True))).select(*map(named, df.columns))
 
 
 def only_value(value: Column | str, message: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named, percent_change, strip_ws
+from ..functions.sharing import kept_whole
 from .forecast import NAME, RESPONDENT
 
 # Least change in percent, least mean demand for display.
@@ -61,6 +62,11 @@ def area_changes(
     )
 
 
+def shared_changes(changed: DataFrame, entity: str = RESPONDENT) -> DataFrame:
+    """Changed entities of which every use reads one evaluation; one row per entity."""
+    return kept_whole(changed, [entity], [entity])
+
+
 def area_change_series(
     df: DataFrame,
     changed: DataFrame,
@@ -72,11 +78,12 @@ def area_change_series(
     """Percent change since the first area, with an opacity that grows with demand.
 
     ``changed`` is the result of ``area_changes``. The gradient runs over
-    all changed entities in log10 of demand; the display limit comes after it.
+    all changed entities in log10 of demand; the display limit comes after it. ``changed`` is
+    used twice (``shared_changes`` gives a form that is evaluated once for both).
     """
-    span = changed.agg(F.min("demand").alias("low"), F.max("demand").alias("high"))
-    low = F.log10(span.select(F.when(F.col("low") > 0, F.col("low"))).scalar())
-    high = F.log10(span.select("high").scalar())
+    span = changed.agg(F.struct(F.min("demand").alias("low"), F.max("demand").alias("high")).alias("span"))
+    span = span.scalar()
+    low, high = F.log10(F.when(span["low"] > 0, span["low"])), F.log10(span["high"])
     shown = changed.withColumn(
         "gradient", F.try_divide(F.log10("demand") - low, high - low)
     ).where(F.col("demand") >= min_shown_demand)

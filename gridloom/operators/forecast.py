@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import max_strict, named, null_or, relative_error, strip_ws, sum0
-from ..functions.guards import only_value
+from ..functions.guards import only_value, unique_rows
 from ..functions.labels import percent
+from ..functions.sharing import kept_whole
 
 RESPONDENT = "respondent_id_ferc714"
 NAME = "respondent_name_ferc714"
@@ -53,6 +54,14 @@ def realized(
     )
 
 
+def shared_years(realized_demand: DataFrame, respondent: str = RESPONDENT) -> DataFrame:
+    """Realized demand of which every use reads one aggregation of the hourly table.
+
+    The years of a respondent meet in one list. Tests on the respondent still reach the scan.
+    """
+    return kept_whole(realized_demand, [respondent], [respondent])
+
+
 def peak_forecasts(
     forecast: DataFrame,
     first_year: int = FIRST_YEAR,
@@ -94,9 +103,10 @@ def match_realized(
     A respondent and year that occur twice in the realized demand fail the query.
     """
     twice = "realized demand repeats a respondent and year"
-    peaks = realized_demand.groupBy(named(respondent), F.col("year").alias("forecast_year")).agg(
-        *[only_value(c, twice).alias(c) for c in ("realized_peak", *carried)]
+    peaks = realized_demand.select(
+        named(respondent), F.col("year").alias("forecast_year"), "realized_peak", *map(named, carried)
     )
+    peaks = unique_rows(peaks, [respondent, "forecast_year"], twice)
     return forecasts.join(peaks, [respondent, "forecast_year"], "inner")
 
 
@@ -165,40 +175,46 @@ def forecast_bias(
     report = Window.partitionBy(named(respondent), "report_year")
     before = F.lag("lookahead").over(report.orderBy("lookahead"))
     at_one = F.max(F.when(F.col("lookahead") == 1, F.col("error"))).over(report)
-    found = errors.agg(
-        F.count_distinct(F.when(F.col("lookahead") != 0, F.col("lookahead"))).alias("n")
-    ).scalar()
-
     single = F.when(
         before == F.col("lookahead"), F.raise_error(F.lit("a lookahead repeats in a report year"))
     ).otherwise(F.col("error"))
-    usable = (
-        errors.select(
-            named(respondent),
-            named(name),
-            "lookahead",
-            single.alias("error"),
-            at_one.alias("__at_one"),
-        )
-        .where(null_or(F.col("__at_one") < MAX_FIRST_YEAR_ERROR, "__at_one"))
-        .dropna(subset=[respondent, name])
+    usable = null_or(F.col("__at_one") < MAX_FIRST_YEAR_ERROR, "__at_one")
+    counts = usable & named(respondent).isNotNull() & named(name).isNotNull()
+    # A respondent's errors are few, one per report year and lookahead: brought together once,
+    # they serve the windows and the means.
+    rows = errors.repartition(named(respondent)).select(
+        named(respondent),
+        named(name),
+        F.when(F.col("lookahead") != 0, F.col("lookahead")).alias("__ahead"),
+        single.alias("error"),
+        at_one.alias("__at_one"),
     )
-    means = usable.groupBy(respondent, name, "lookahead").agg(F.avg("error").alias("error"))
-    by_respondent = means.groupBy(respondent, name).agg(
+    # Lookaheads without a usable error travel along, as they are found all the same: the
+    # figures and the set of all lookaheads come from one evaluation.
+    by_respondent = rows.groupBy(respondent, name).agg(
+        F.count_if(counts).alias("__n"),
         F.lit(0.0).alias(bias_column(0)),
         *[
-            F.expr(f"max(CASE WHEN lookahead = {k} THEN error END)").alias(bias_column(k))
+            F.avg(F.when(counts & (F.col("__ahead") == k), F.col("error"))).alias(bias_column(k))
             for k in LOOKAHEADS
             if k != 0
         ],
-        F.expr("count(CASE WHEN lookahead <> 0 THEN 1 END)").alias("__present"),
+        F.collect_set(F.when(counts, F.col("__ahead"))).alias("__present"),
+        F.collect_set("__ahead").alias("__found"),
+    )
+    by_respondent = kept_whole(by_respondent, [respondent, name])
+    found = (
+        by_respondent.select(F.explode("__found").alias("lookahead"))
+        .agg(F.count_distinct("lookahead").alias("n"))
+        .scalar()
     )
     at_1, at_10 = bias_column(1), bias_column(10)
     return (
-        by_respondent.where(found - F.col("__present") <= MAX_MISSING_LOOKAHEADS)
+        by_respondent.where("__n > 0")
+        .where(found - F.size("__present") <= MAX_MISSING_LOOKAHEADS)
         .where(null_or(F.abs(F.col(at_1)) <= MAX_MEAN_ERROR_AT_1, at_1))
         .where(null_or(F.abs(F.col(at_10)) <= MAX_MEAN_ERROR_AT_10, at_10))
-        .drop("__present")
+        .drop("__n", "__present", "__found")
     )
 
 

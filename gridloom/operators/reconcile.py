@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column, named, sum0
+from ..functions.sharing import kept_whole
 
 AUTHORITY = "balancing_authority_code_eia"
 TIME = "datetime_utc"
@@ -58,11 +59,14 @@ def reconcile(
     if not complete_grid:
         return reported.join(sum_of_parts(parts, keys, part_col), keys, "inner")
 
-    # A cell that the parts hold needs no look at its single keys.
-    matched = reported.join(sum_of_parts(parts, keys, part_col), keys, "left")
+    # The parts are summed once, rows with a null key too, whose other keys still count. A
+    # cell that the parts hold needs no look at its single keys.
+    sums = parts.groupBy(*map(named, keys)).agg(sum0(part_col).alias("calculated"))
+    sums = kept_whole(sums, keys)
+    matched = reported.join(sums.dropna(subset=keys), keys, "left")
     empty = matched.where("calculated IS NULL")
     for key in keys:
-        empty = empty.join(parts.select(named(key)).dropna().distinct(), key, "left_semi")
+        empty = empty.join(sums.select(named(key)).dropna().distinct(), key, "left_semi")
     zero = F.coalesce("calculated", F.lit(0)).alias("calculated")
     return (
         matched.where("calculated IS NOT NULL")

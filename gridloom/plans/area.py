@@ -24,11 +24,11 @@ def analyse_area(
 ) -> tuple[DataFrame, DataFrame]:
     """Changed entities, one row each, and their series over time.
 
-    The changed entities are stored below ``folder`` if one is named.
+    The changed entities are found once: they are stored below ``folder`` if one is named, else
+    the plan stays lazy and their uses share one shuffle.
     """
     lowered = lower_strings(summary)
-    changed = stored(
-        op.area_changes(lowered, entity, name, demand, area, order, min_change_percent), folder
-    )
+    changed = op.area_changes(lowered, entity, name, demand, area, order, min_change_percent)
+    changed = op.shared_changes(changed, entity) if folder is None else stored(changed, folder)
     series = op.area_change_series(lowered, changed, entity, area, order, min_shown_demand)
     return changed, series

@@ -18,10 +18,11 @@ def realized_demand(
 ) -> DataFrame:
     """Peak and total per respondent and year, stored below ``folder`` if one is named.
 
-    Stored, this is the one scan of the hourly table, and all that follows reads its rows;
-    without a folder the plan stays lazy and every use aggregates what it needs.
+    The hourly table is scanned once either way: all that follows reads the stored rows or,
+    without a folder, where the plan stays lazy, shares one shuffle of the yearly figures.
     """
-    return stored(op.realized(hourly, demand_col), folder)
+    realized = op.realized(hourly, demand_col)
+    return op.shared_years(realized) if folder is None else stored(realized, folder)
 
 
 @dataclass(frozen=True)

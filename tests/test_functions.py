@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from gridloom.functions import columns as c
 from gridloom.functions import labels
 from gridloom.functions.bins import bin_index
-from gridloom.functions.guards import assert_unique, only_value
-from helpers import by_key, rows
+from gridloom.functions.guards import only_value, unique_rows
+from gridloom.functions.sharing import kept_whole
+from helpers import by_key, plan, rows
 
 
 def test_sum0_counts_a_null_group_as_zero(spark):
@@ -137,11 +138,39 @@ def test_bins_agree_with_numpy_on_any_range(spark, values, shape):
     assert [found.get(i, 0) for i in range(bins)] == expected.tolist()
 
 
-def test_assert_unique_also_sees_null_keys(spark):
-    df = spark.createDataFrame([(1, None), (2, None)], "a int, b int")
-    assert assert_unique(df, ["a", "b"]) is df
-    with pytest.raises(ValueError, match="not unique"):
-        assert_unique(df, ["b"])
+def test_unique_rows_also_sees_null_keys(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, None, None)], "a int, b int, `c.d` string")
+    assert unique_rows(df, ["a", "b"], "twice").schema == df.schema
+    assert rows(unique_rows(df, ["a", "b"], "twice")) == rows(df)
+    assert rows(unique_rows(df.select("a"), ["a"], "twice")) == [(1,), (2,)]
+    for keys, columns in ((["b"], ["a", "b"]), (["b"], ["b"])):
+        with pytest.raises(Exception, match="twice"):
+            unique_rows(df.select(*columns), keys, "twice").count()
+
+
+def test_unique_rows_ride_in_the_shuffle_of_a_join(spark):
+    left = spark.range(100).selectExpr("id % 10 AS k", "id AS v")
+    right = spark.range(10).selectExpr("id AS k", "id * 2 AS w")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = left.join(unique_rows(right, ["k"], "twice"), "k")
+        plain = left.join(right, "k")
+        assert plan(joined).count("Exchange") == plan(plain).count("Exchange") == 2
+        assert rows(joined) == rows(plain)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_kept_whole_gives_the_same_rows(spark):
+    data = [(1, "a", 2.0), (1, "b", None), (None, "c", 1.0), (2, None, None)]
+    df = spark.createDataFrame(data, "k int, `s.t` string, v double")
+    for keys, plain in ((["k"], ["k"]), (["k"], []), (["k", "s.t"], [])):
+        whole = kept_whole(df, keys, plain)
+        assert whole.columns == df.columns and rows(whole) == rows(df)
+    assert rows(kept_whole(df.limit(0), ["k"])) == []
+    assert "EqualTo" in plan(kept_whole(df, ["k"], ["k"]).where("k = 1")) or "(k" in plan(
+        kept_whole(df, ["k"], ["k"]).where("k = 1")
+    )
 
 
 def test_only_value_fails_on_a_second_row(spark):
