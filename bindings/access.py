@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.labels import quarter_name
 from gridloom.operators import access as op
 from gridloom.operators import tables
 from gridloom.sources.catalog import Catalog
@@ -13,14 +14,20 @@ from gridloom.sources.storage import new_folder
 from .common import SCHEMAS, read, register, tidy
 
 
+# Where the shipments of a folder have been written by quarter, by session and folder.
+_BY_QUARTER: dict[tuple[str, str], str] = {}
+
+
 def _quarters(spark: SparkSession, folder: str) -> Catalog:
-    """Shipments written as a table kept by quarter, several part files to each."""
-    base = new_folder(spark)
-    day = F.col("l_shipdate")
-    quarter = F.concat(F.year(day).cast("string"), F.lit("q"), F.quarter(day).cast("string"))
-    lines = read(spark, folder, "lineitem").withColumn("quarter", quarter)
-    lines.write.partitionBy("quarter").parquet(f"{base}/transactions")
-    return Catalog(spark, base, layout="quarter={quarter}")
+    """Shipments as a table kept by quarter, one file to each; written once in a session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _BY_QUARTER:
+        base = new_folder(spark)
+        lines = read(spark, folder, "lineitem").withColumn("quarter", quarter_name("l_shipdate"))
+        lines = lines.repartitionByRange("quarter", "l_shipdate")
+        lines.write.partitionBy("quarter").parquet(f"{base}/transactions")
+        _BY_QUARTER[key] = base
+    return Catalog(spark, _BY_QUARTER[key], layout="quarter={quarter}")
 
 
 @register(
@@ -67,19 +74,22 @@ def quarterly_one(spark: SparkSession, folder: str) -> DataFrame:
     return op.class_distribution(table.withColumnRenamed("l_returnflag", "class_name"))
 
 
-SLICE_LIMIT = 1_000_000
+SLICE_LIMIT = 50
 
 
 @register(
     "slice_limit",
-    f"""SELECT least(count(*), {SLICE_LIMIT}) AS n FROM lineitem
-    WHERE l_returnflag = 'R' AND l_shipdate BETWEEN '1996-01-01' AND '1996-12-31'""",
+    f"""SELECT least(count(*), {SLICE_LIMIT}) AS n, least(count(*), {SLICE_LIMIT}) AS members
+    FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate BETWEEN '1996-01-01' AND '1996-12-31'""",
 )
 def slice_limit(spark: SparkSession, folder: str) -> DataFrame:
-    """As many rows as an unordered limit lets through, whichever they are."""
+    """An unordered limit of a slice: how many rows come, whichever, and how many belong to it."""
     lines = read(spark, folder, "lineitem")
     rows = op.date_slice(lines, "R", "1996-01-01", "1996-12-31", "l_shipdate", "l_returnflag")
-    return tables.preview(rows, SLICE_LIMIT).agg(F.count(F.lit(1)).alias("n"))
+    inside = (F.col("l_returnflag") == "R") & (F.year("l_shipdate") == 1996)
+    return tables.preview(rows, SLICE_LIMIT).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("members")
+    )
 
 
 @register(

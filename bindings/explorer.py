@@ -305,17 +305,14 @@ def _transpose_sql() -> str:
 
 @register("transpose_attributes", _transpose_sql())
 def transpose_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per attribute; as the generators differ by scale, their columns are gathered.
-
-    The generators' ids are looked up first, which is a job; given, they would save it.
-    """
+    """One row per attribute, the generators in order of their ids."""
     of_plant = _newest(spark, folder).where(F.col("plant_id_eia") == ONE_PLANT)
-    ids = sorted(r[0] for r in of_plant.select("generator_id").distinct().collect())
-    table = op.transpose_attributes(of_plant, op.attribute_order(of_plant.columns), ids=ids)
-    cells = F.array(*[F.when(F.col(f"`{i}`").isNotNull(), F.concat(F.lit(f"{i}="), f"`{i}`")) for i in ids])
-    known = F.filter(cells, lambda c: c.isNotNull())
+    table = op.transpose_attributes(of_plant, op.attribute_order(of_plant.columns))
+    pairs = F.transform(
+        F.array_sort(F.map_entries("cells")), lambda e: F.concat(e["key"], F.lit("="), e["value"])
+    )
     return table.select(
         "attribute",
-        F.size(known).cast("long").alias("shown"),
-        F.array_join(known, ", ").alias("generators"),
+        F.size("cells").cast("long").alias("shown"),
+        F.array_join(pairs, ", ").alias("generators"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.labels import fixed
 from gridloom.operators import profiles as op
-from gridloom.plans.export import export_wide
+from gridloom.plans.export import export_quarters, export_wide
 from gridloom.sources.csv import read_csv
 from gridloom.sources.storage import new_folder
 
@@ -154,11 +154,11 @@ def _tall(spark: SparkSession, folder: str) -> DataFrame:
 def wide_reshape(spark: SparkSession, folder: str) -> DataFrame:
     return op.wide(
         _tall(spark, folder),
+        HEADERS,
         ["quantity"],
         ["ship_year", "ship_month"],
         "p_type",
         "l_returnflag",
-        HEADERS,
     )
 
 
@@ -172,11 +172,11 @@ def csv_export(spark: SparkSession, folder: str) -> DataFrame:
     tables = export_wide(
         _tall(spark, folder),
         target,
+        HEADERS,
         list(SHIPPED),
         ["ship_year", "ship_month"],
         "p_type",
         "l_returnflag",
-        HEADERS,
     )
     read_back = [
         read_csv(spark, f"{target}/{m}", t.schema).withColumn("measure", F.lit(m))
@@ -185,6 +185,35 @@ def csv_export(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, read_back)
 
 
+ROWS_PER_FILE = 1_000
+
+
+@register(
+    "csv_by_quarter",
+    f"""WITH q AS (
+      SELECT year(l_shipdate) || 'q' || quarter(l_shipdate) AS quarter, count(*) AS n,
+        sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL)
+    SELECT quarter, n, quantity, n > {ROWS_PER_FILE} AS in_several_files, true AS within_budget,
+      CAST((SELECT sum(n) FROM q) AS BIGINT) AS exported FROM q""",
+)
+def csv_by_quarter(spark: SparkSession, folder: str) -> DataFrame:
+    """Shipments written to CSV by quarter under a row budget, and what each quarter's files hold."""
+    lines = read(spark, folder, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity")
+    written = export_quarters(lines, new_folder(spark), "l_shipdate", rows_per_file=ROWS_PER_FILE)
+    files = (
+        read_csv(spark, written.folder, lines.schema)
+        .groupBy("quarter", F.col("_metadata.file_path").alias("file"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    )
+    return files.groupBy("quarter").agg(
+        F.sum("n").alias("n"),
+        F.sum("quantity").alias("quantity"),
+        (F.count(F.lit(1)) > 1).alias("in_several_files"),
+        (F.max("n") <= written.budget).alias("within_budget"),
+        F.lit(written.rows).cast("long").alias("exported"),
+    )
+
+
 @register(
     "histogram_fixed",
     """WITH v AS (

@@ -65,3 +65,9 @@ def counted_values(entries: Column) -> Column:
         ),
         ", ",
     )
+
+
+def quarter_name(time: Column | str) -> Column:
+    """Such as ``1996q1``; null without a time."""
+    column = as_column(time)
+    return F.concat(F.year(column).cast("string"), F.lit("q"), F.quarter(column).cast("string"))

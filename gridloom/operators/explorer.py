@@ -529,14 +529,25 @@ def transpose_attributes(
     generator: str = GENERATOR,
     ids: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per attribute, one column per generator; empty attributes are left out.
+    """One row per attribute with the values of all generators; empty attributes are left out.
 
-    Rows come in the given order of attributes. A generator that occurs twice fails the
-    query. The number of columns is limited by ``spark.sql.pivotMaxValues``.
+    The values of a selection of generators, such as those of one plant, come as one map
+    ``cells`` from generator to value; with ``ids`` they come as one column for each of these
+    generators, and attributes that none of them has are left out. Rows come in the given order
+    of attributes. A generator that occurs twice fails the query.
     """
     place = F.lit(list(attributes))
     cells = attributes_long(generators, attributes, generator=generator)
     cells = cells.withColumn(generator, named(generator).cast("string"))
-    value = only_value("value", "a generator repeats")
-    table = cells.groupBy("attribute").pivot(generator, ids).agg(value)
-    return table.orderBy(F.array_position(place, F.col("attribute")))
+    if ids is not None:
+        cells = cells.where(named(generator).isin(list(ids)))
+    # Equal pairs first meet as one row, whose count tells a repeated generator.
+    single = cells.groupBy("attribute", named(generator)).agg(
+        only_value("value", "a generator repeats").alias("value")
+    )
+    pairs = F.collect_list(F.struct(named(generator), "value"))
+    table = single.groupBy("attribute").agg(F.map_from_entries(pairs).alias("cells"))
+    table = table.orderBy(F.array_position(place, F.col("attribute")))
+    if ids is None:
+        return table
+    return table.select("attribute", *[F.try_element_at("cells", F.lit(i)).alias(i) for i in ids])

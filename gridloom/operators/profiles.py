@@ -107,27 +107,41 @@ def frames(
     )
 
 
+def headers_of(
+    places: DataFrame, place_col: str = "place_name", state_col: str = "state"
+) -> list[str]:
+    """The column names of a wide table, in order, from the table of places alone.
+
+    A job over the places, which are few beside the hourly rows and whose number is that of
+    the columns asked for; the hourly rows are not read.
+    """
+    found = places.select(place_header(place_col, state_col).alias("header")).distinct()
+    return sorted(r["header"] for r in found.where("header IS NOT NULL").collect())
+
+
 def wide(
     df: DataFrame,
+    headers: Sequence[str],
     measures: Sequence[str] = MEASURES,
     time_cols: Sequence[str] = TIME_COLUMNS,
     place_col: str = "place_name",
     state_col: str = "state",
-    headers: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per time, one column per ``place__state`` (and measure, if several).
 
-    A time and place that occur twice fail the query. Give ``headers`` to fix the columns
-    and save the job that looks them up.
+    ``headers`` names the columns (``headers_of`` takes them from a table of places), so
+    nothing runs before the result is read, and the hourly rows are read once. A row of a place
+    beyond them fails the query, as do a time and place that occur twice.
     """
+    header = place_header(place_col, state_col)
+    beyond = F.raise_error(F.concat(F.lit("not among the headers: "), header)).cast("string")
     slim = df.select(
         *[named(c) for c in time_cols],
-        place_header(place_col, state_col).alias("__header"),
+        F.when(header.isNull() | header.isin(list(headers)), header).otherwise(beyond).alias("__header"),
         *[named(m) for m in measures],
     ).where("__header IS NOT NULL")
     cells = [only_value(m, f"{m}: time and place repeat").alias(m) for m in measures]
-    values = None if headers is None else list(headers)
-    return slim.groupBy(*time_cols).pivot("__header", values).agg(*cells)
+    return slim.groupBy(*time_cols).pivot("__header", list(headers)).agg(*cells)
 
 
 def wide_measure(

@@ -14,8 +14,16 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def new_folder(spark: SparkSession, parent: str | None = None) -> str:
-    """A new folder below ``parent``, else the shared folder, else the session's warehouse."""
-    parent = parent or shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder below ``parent``, else the shared folder, else the session's warehouse.
+
+    A warehouse on a local disk serves only where driver and executors are one machine.
+    """
+    parent = parent or shared_folder(spark)
+    if parent is None:
+        parent = spark.conf.get("spark.sql.warehouse.dir")
+        local = parent.startswith(("file:", "/")) or ":" not in parent
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     return f"{parent.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 

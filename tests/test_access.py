@@ -8,6 +8,7 @@ import pytest
 
 from gridloom.operators import access as op
 from gridloom.operators import tables
+from gridloom.plans.export import export_quarters
 from gridloom.sources import csv
 from gridloom.sources.catalog import Catalog, with_quarter
 from gridloom.sources.storage import new_folder, shared_folder, stored
@@ -149,6 +150,85 @@ def test_csv_keeps_the_row_budget_and_splits(spark, tmp_path):
     assert all(len(f.read_text().splitlines()) <= 11 for f in files)
 
 
+def test_export_by_quarter_counts_while_it_writes(spark, tmp_path):
+    rows_in = spark.range(2000).selectExpr(
+        "id", "timestamp_ntz'2023-01-01 00:00:00' + make_dt_interval(id % 400) AS t"
+    )
+    df = rows_in.union(spark.range(3).selectExpr("id", "CAST(NULL AS timestamp_ntz) AS t")).repartition(5)
+    folder = str(tmp_path / "out")
+    done = export_quarters(df, folder, "t", rows_per_file=150)
+    assert (done.rows, done.fits, done.budget) == (2003, False, 150)
+    assert export_quarters(df, f"{folder}2", "t").fits
+    files = sorted((tmp_path / "out").glob("quarter=*/*.csv"))
+    sizes = {}
+    for f in files:
+        n = len(f.read_text().splitlines()) - 1
+        assert 0 < n <= 150
+        sizes[f.parent.name] = sizes.get(f.parent.name, 0) + n
+    assert sizes["quarter=none"] == 3 and sum(sizes.values()) == 2003
+    assert set(sizes) == {"quarter=none", "quarter=2024q1", *(f"quarter=2023q{k}" for k in range(1, 5))}
+    back = csv.read_csv(spark, folder, df.schema)
+    assert rows(back, "id", "t") == rows(df)
+    read_one = back.where("quarter = '2023q2'")
+    assert {r[0].month for r in rows(read_one, "t")} == {4, 5, 6}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Other:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            held = {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}
+
+            @classmethod
+            def get(cls, key, default=None):
+                return cls.held.get(key, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        new_folder(Other)
+    Other.conf.held["spark.sql.warehouse.dir"] = "s3a://bucket/warehouse"
+    assert new_folder(Other).startswith("s3a://bucket/warehouse/table-")
+
+
+def _files_read(df):
+    """Files that the scan of a run query listed."""
+    df.collect()
+    node, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(p.plan())
+        if name.startswith("Scan"):
+            found.append(p.metrics().apply("numFiles").value())
+        for k in range(p.children().size()):
+            walk(p.children().apply(k))
+
+    walk(node)
+    return found
+
+
+@pytest.mark.parametrize("hive", [True, False])
+def test_a_quarter_of_the_whole_table_reads_its_files_only(spark, tmp_path, hive):
+    """By the quarter's partition column and by the quarter in the files' names."""
+    df = spark.range(400).selectExpr("id", "concat('1996q', id % 4 + 1) AS quarter").coalesce(1)
+    if hive:
+        df.write.partitionBy("quarter").parquet(str(tmp_path / "t"))
+        catalog = Catalog(spark, str(tmp_path), layout="quarter={quarter}")
+    else:
+        for k in range(1, 5):
+            df.where(f"quarter = '1996q{k}'").drop("quarter").coalesce(1).write.parquet(str(tmp_path / "t" / f"1996q{k}.parquet"))
+        catalog = Catalog(spark, str(tmp_path))
+    table = catalog.quarterly("t", quarter_column="quarter", schema="id long")
+    assert _files_read(table.where("id >= 0")) == [4]
+    for where in ("quarter = '1996q1'", "quarter = '1996q1' AND id < 100"):
+        assert {r["quarter"] for r in table.where(where).collect()} == {"1996q1"}
+        assert _files_read(table.where(where)) == [1]
+
+
 def test_tables_are_stored_only_where_a_folder_is_named(spark, tmp_path):
     df = spark.range(3).toDF("x")
     assert stored(df, None) is df

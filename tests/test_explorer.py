@@ -225,9 +225,13 @@ def test_transpose(generators):
     units = generators.where("plant_id_eia = 55241").drop("plant_id_eia", "report_date")
     units = units.withColumn("empty", F.lit(None).cast("int"))
     order = op.attribute_order(units.columns)
-    table = op.transpose_attributes(units, order)
+    cells = op.transpose_attributes(units, order)
+    assert cells.columns == ["attribute", "cells"]
+    table = op.transpose_attributes(units, order, ids=["CT1", "ST1"])
     assert table.columns == ["attribute", "CT1", "ST1"]
     assert [tuple(r) for r in table.collect()] == [
+        (r["attribute"], r["cells"].get("CT1"), r["cells"].get("ST1")) for r in cells.collect()
+    ] == [
         ("technology_description", "Gas CC", "Gas CC"),
         ("operational_status", "existing", "existing"),
         ("capacity_mw", "1.5", "1.0"),
@@ -237,6 +241,9 @@ def test_transpose(generators):
     ]
     with pytest.raises(Exception, match="generator repeats"):
         op.transpose_attributes(units.union(units), order).collect()
+    # A generator that is not asked for takes no column, one that is not there an empty one.
+    other = op.transpose_attributes(units, order, ids=["ST1", "none"])
+    assert [tuple(r)[1:] for r in other.collect()][2] == ("1.0", None)
 
 
 def test_attributes_long_of_many_plants(generators):

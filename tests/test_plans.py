@@ -101,9 +101,9 @@ def test_generators_meet_their_records_before_they_become_distinct(spark):
     assert not re.search(r"hashpartitioning\([^)]*l_partkey#", text)
 
 
-# These write and read back, or look up the columns of a pivot.
+# These write and read back.
 RUN_AT_ONCE = {
-    "csv_export", "quarterly_slice", "quarterly_counts", "quarterly_one", "transpose_attributes"
+    "csv_export", "csv_by_quarter", "quarterly_slice", "quarterly_counts", "quarterly_one"
 }
 
 
@@ -161,3 +161,51 @@ def test_results_do_not_depend_on_broadcasts_or_partitions(spark):
         for key in changed:
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def whole_plan(spark, df_of):
+    """The plan as it is made without adaptive execution, where reused shuffles show."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return plan(df_of())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["forecast_errors", "forecast_bias", "weighted_bias", "weighted_bias_peak", "coverage",
+     "respondent_curves", "respondent_curve_one"],
+)
+def test_the_hourly_table_is_read_once_without_a_folder(spark, monkeypatch, name):
+    """Realized demand is used several times; its shuffle is made once and reused."""
+    monkeypatch.setattr("bindings.forecast.shared_folder", lambda spark: None)
+    text = whole_plan(spark, lambda: QUERIES[name](spark, FOLDER))
+    assert scans(text, "l_shipdate") == 1
+    assert "ReusedExchange" in text
+
+
+def test_the_lookaheads_found_come_from_the_errors_of_the_bias(spark, monkeypatch):
+    monkeypatch.setattr("bindings.forecast.shared_folder", lambda spark: None)
+    text = whole_plan(spark, lambda: QUERIES["forecast_bias"](spark, FOLDER))
+    # The windows over report years (one for each of two frames) and the means are planned once,
+    # on one shuffle of the errors, and the lookaheads found are read from their results.
+    assert text.count("Window [lag(") == text.count("Window [max(") == 1
+    assert text.count("REPARTITION_BY_COL") == 3 and text.count("collect_set") == 4
+
+
+def test_area_changes_are_evaluated_once(spark, monkeypatch):
+    monkeypatch.setattr("bindings.forecast.shared_folder", lambda spark: None)
+    text = whole_plan(spark, lambda: QUERIES["area_change_series"](spark, FOLDER))
+    assert len([x for x in text.splitlines() if "functions=[partial_min(" in x and "partial_min_by(" in x]) == 1
+    # Once for the changes, once for the points of the series.
+    assert scans(text, "o_custkey") == 2 and "ReusedExchange" in text
+
+
+def test_a_complete_grid_reads_the_parts_once(spark):
+    text = whole_plan(spark, lambda: QUERIES["reconcile_grid"](spark, FOLDER))
+    assert scans(text, "l_extendedprice") == 1 and "ReusedExchange" in text
+
+
+def test_a_wide_table_reads_the_facts_once(spark):
+    assert scans(plan(QUERIES["wide_reshape"](spark, FOLDER)), "l_quantity") == 1

@@ -80,7 +80,9 @@ def test_numbered_times_count_on_across_hours(spark):
 
 
 def test_wide_keeps_lakes_quotes_names_and_drops_missing_places(profiles):
-    table = op.wide(profiles, ["capacity_factor_solar_pv"])
+    headers = op.headers_of(profiles)
+    table = op.wide(profiles, headers, ["capacity_factor_solar_pv"])
+    assert headers == table.columns[3:]
     assert table.columns[3:] == ["Andrews__tx", "Lake Erie__tx", "Logan__co", "St. Clair__tx"]
     assert rows(table, "hour_of_year", "St. Clair__tx", "Lake Erie__tx") == [
         (0, 0.0, 0.7), (1, None, None), (2, 0.2, None)
@@ -90,13 +92,29 @@ def test_wide_keeps_lakes_quotes_names_and_drops_missing_places(profiles):
 def test_wide_fails_on_a_repeated_time_and_place(profiles):
     twice = profiles.union(profiles.where("place_name = 'Logan'"))
     with pytest.raises(Exception, match="time and place repeat"):
-        op.wide(twice, ["capacity_factor_solar_pv"]).collect()
+        op.wide(twice, op.headers_of(twice), ["capacity_factor_solar_pv"]).collect()
+
+
+def test_wide_fails_on_a_place_beyond_the_headers(profiles):
+    with pytest.raises(Exception, match="not among the headers: Andrews__tx"):
+        op.wide(profiles.where("place_name = 'Andrews'"), ["Logan__co"], ["capacity_factor_solar_pv"]).collect()
+
+
+def test_headers_come_from_the_places_alone(spark, profiles):
+    places = profiles.select("place_name", "state").union(
+        spark.createDataFrame([(None, "TX"), ("Unmet", "NM")], "place_name string, state string")
+    )
+    headers = op.headers_of(places)
+    assert "Unmet__nm" in headers and len(headers) == len(set(headers))
+    table = op.wide(profiles, headers, ["capacity_factor_solar_pv"])
+    assert {r[0] for r in rows(table, "Unmet__nm")} == {None}
 
 
 def test_wide_and_back(profiles):
-    table = op.wide(profiles, ["capacity_factor_solar_pv"], headers=["Logan__co", "Andrews__tx"])
+    kept = profiles.where("place_name IN ('Logan', 'Andrews')")
+    table = op.wide(kept, ["Logan__co", "Andrews__tx"], ["capacity_factor_solar_pv"])
     back = table.unpivot(list(op.TIME_COLUMNS), table.columns[3:], "place", "value")
-    kept = profiles.where("place_name IN ('Logan', 'Andrews')").select(
+    kept = kept.select(
         F.concat("place_name", F.lit("__"), F.lower("state")), "capacity_factor_solar_pv"
     )
     assert rows(back.dropna(subset=["value"]), "place", "value") == rows(kept)
@@ -104,7 +122,7 @@ def test_wide_and_back(profiles):
 
 def test_export_gives_one_table_per_measure(spark, profiles):
     folder = new_folder(spark)
-    tables = export_wide(profiles, folder)
+    tables = export_wide(profiles, folder, op.headers_of(profiles))
     assert set(tables) == set(op.MEASURES)
     for measure, table in tables.items():
         assert table.columns[:3] == list(op.TIME_COLUMNS)
@@ -118,7 +136,7 @@ def test_export_gives_one_table_per_measure(spark, profiles):
 def test_wide_measure_tells_apart_measures_with_a_common_ending(spark):
     schema = "t int, p string, s string, a double, b_a double"
     df = spark.createDataFrame([(1, "P", "S", 1.0, 2.0)], schema)
-    combined = op.wide(df, ["a", "b_a"], ["t"], "p", "s")
+    combined = op.wide(df, ["P__s"], ["a", "b_a"], ["t"], "p", "s")
     for measure, value in (("a", 1.0), ("b_a", 2.0)):
         table = op.wide_measure(combined, measure, ["a", "b_a"], ["t"])
         assert table.columns == ["t", "P__s"]
