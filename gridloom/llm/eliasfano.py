@@ -65,15 +65,41 @@ def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return (shift + _IN_BYTE[octet << _SEVEN | (rank - before)]).astype(np.int64)
 
 
+class _Directory:
+    """Finds the word that holds a bit by its rank: counts before every word, and the word of
+    every 64th bit, from which it is a few words on; where it is farther, by halving."""
+
+    def __init__(self, ends: np.ndarray) -> None:
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        self.before = np.concatenate([[0], ends]).astype(kind)
+        sampled = np.arange(0, int(ends[-1]) + 1, 64).astype(kind)
+        self.near = np.searchsorted(self.before, sampled, side="right").astype(kind) - kind(1)
+
+    def word(self, rank: np.ndarray) -> np.ndarray:
+        rank = rank.astype(self.before.dtype)
+        word = self.near[rank >> 6]
+        for _ in range(3):
+            beyond = self.before[np.minimum(word + 1, len(self.before) - 1)] <= rank
+            if not beyond.any():
+                return word
+            word += beyond
+        far = np.flatnonzero(self.before[np.minimum(word + 1, len(self.before) - 1)] <= rank)
+        if len(far):
+            word[far] = np.searchsorted(self.before, rank[far], side="right") - 1
+        return word
+
+
 class Sequence:
-    """Reads an encoded sequence in place; keeps only a directory of the high bits in memory."""
+    """Reads an encoded sequence in place; keeps only directories of the high bits in memory."""
 
     def __init__(self, parts: dict[str, np.ndarray]) -> None:
         self.n, self.width, self.bits = (int(x) for x in parts["shape"])
         self.low, self.high = parts["low"], parts["high"]
-        ones = np.bitwise_count(self.high).astype(np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(ones)])
-        self.zeros = 64 * np.arange(len(self.ones)) - self.ones
+        # Eight bytes from any byte on, which hold every value of up to 57 bits whole.
+        self.eight = np.ndarray((8 * len(self.low) - 7,), "<u8", self.low.view(np.uint8).data, strides=(1,))
+        ends = np.cumsum(np.bitwise_count(self.high), dtype=np.int64)
+        self.ones = _Directory(ends)
+        self.zeros = _Directory(64 * np.arange(1, len(ends) + 1) - ends)
 
     def __len__(self) -> int:
         return self.n
@@ -82,6 +108,9 @@ class Sequence:
         if not self.width:
             return np.zeros(len(at), np.uint64)
         bit = at * self.width
+        if self.width <= 57:
+            value = self.eight[bit >> 3] >> (bit & 7).astype(np.uint64)
+            return value & np.uint64((1 << self.width) - 1)
         word, shift = bit >> 6, (bit & 63).astype(np.uint64)
         value = self.low[word] >> shift
         over = (np.uint64(64) - shift) & np.uint64(63)
@@ -89,12 +118,14 @@ class Sequence:
         return value & np.uint64((1 << self.width) - 1)
 
     def _one(self, rank: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.ones, rank, side="right") - 1
-        return 64 * word + _select_in_word(self.high[word], rank - self.ones[word])
+        word = self.ones.word(rank)
+        place = _select_in_word(self.high[word], rank - self.ones.before[word])
+        return 64 * word.astype(np.int64) + place
 
     def _zero(self, rank: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.zeros, rank, side="right") - 1
-        return 64 * word + _select_in_word(~self.high[word], rank - self.zeros[word])
+        word = self.zeros.word(rank)
+        place = _select_in_word(~self.high[word], rank - self.zeros.before[word])
+        return 64 * word.astype(np.int64) + place
 
     def all(self) -> np.ndarray:
         """Every value, in order."""

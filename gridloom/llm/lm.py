@@ -21,6 +21,8 @@ DISCOUNT = 0.75
 STEPS, DEEPEST = 255, 12.0
 END = xxhash.xxh64_intdigest(b"")
 HELD_KEYS = 3_000_000
+# Bytes of text at a time: words and pairs are looked up once for all their places in a slice.
+SLICE = 8_000_000
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -35,7 +37,7 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct keys in order and the sums of their counts."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(counts, first)
@@ -224,7 +226,7 @@ class Tokens:
         docs = np.arange(len(offsets) - 1)
         marks = np.concatenate([offsets[:-1], offsets[1:]])
         order = np.concatenate([2 * docs, 2 * docs + 1]).argsort()
-        code = np.insert(codes, marks[order], len(known))
+        code = np.insert(codes.astype(np.int32), marks[order], len(known))
         return cls(offsets + 2 * np.arange(len(offsets)), code, *words.find(hashes))
 
     def pairs(self, level: Level) -> Pairs:
@@ -279,7 +281,7 @@ def _gathered(docs: DataFrame, make: Callable[[], Keys], schema_of: Callable) ->
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys = np.concatenate([h[0] for h in held])
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             keys = keys[order]
             counts = np.concatenate([h[1] for h in held])[order]
             buckets = np.concatenate([h[2] for h in held])[order]
@@ -295,11 +297,14 @@ def _gathered(docs: DataFrame, make: Callable[[], Keys], schema_of: Callable) ->
                     [pa.array([int(buckets[a])]), pa.array([data], pa.binary())], ["bucket", "data"]
                 )
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             keys, buckets = keys_of(batch)
             if len(keys):
-                unique, index, counts = np.unique(keys, return_index=True, return_counts=True)
-                held.append((unique, counts, buckets[index]))
+                # Equal keys have equal buckets, so any of them tells the bucket.
+                order = np.argsort(keys)
+                keys = keys[order]
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                held.append((keys[first], np.diff(np.append(first, len(keys))), buckets[order[first]]))
             if sum(len(h[0]) for h in held) > HELD_KEYS:
                 yield from flush()
         if held:
@@ -482,7 +487,7 @@ def log_probabilities(
     pairs = found.pairs(trie.pairs)
     single = (found.counts + 1) / (tokens + words + 1)
 
-    order = np.argsort(found.ids, kind="stable")
+    order = np.argsort(found.ids)
     n, total, _ = trie.pairs.totals(found.ids[order])
     left = np.ones(len(order))
     left[order] = _left_over(n, total, found.counts[order])
@@ -534,7 +539,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(files)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             found = log_probabilities(batch, trie, tokens, words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *map(pa.array, found)],
