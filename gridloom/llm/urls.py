@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.ml.fpm import FPGrowth
@@ -14,6 +15,8 @@ from .common import stored
 
 ALLOW, BLOCK = "allow", "block"
 MARK = "verdict="
+# Between the tokens of an item and the items of a rule; no token holds a ``#``.
+OR, AND = " #or# ", " #and# "
 
 Rule = tuple[str, str, str]
 
@@ -60,57 +63,130 @@ def given_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colum
     return text, verdict
 
 
+@dataclass
+class Mined:
+    #: rule (text), tokens (its items), verdict, confidence and support.
+    rules: DataFrame
+    #: token and the item that stands for it and for all tokens of the same labelled URLs.
+    items: DataFrame
+
+
+def _items(labelled: DataFrame, least: float) -> DataFrame:
+    """Frequent tokens with their item, its rows and its rows by verdict.
+
+    Tokens that occur in the same labelled URLs, and no others, are one item, named by them in
+    text order. Their sets of URLs are compared by two 64-bit hashes and the number of rows.
+    At most ``average tokens of a URL * rows / least`` tokens are frequent.
+    """
+    baskets = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("rows"))
+    held = baskets.select(
+        F.explode("tokens").alias("token"),
+        "rows",
+        (F.col("verdict") == BLOCK).cast("int").alias("blocks"),
+        F.xxhash64("tokens", "verdict").alias("h1"),
+        F.xxhash64(F.lit("second"), "verdict", "tokens").alias("h2"),
+    )
+    alike = ["rows", "blocked", "h1", "h2"]
+    return (
+        held.groupBy("token")
+        .agg(
+            F.sum("rows").alias("rows"),
+            F.sum(F.col("rows") * F.col("blocks")).alias("blocked"),
+            F.bit_xor("h1").alias("h1"),
+            F.bit_xor("h2").alias("h2"),
+        )
+        .where(F.col("rows") >= least)
+        .groupBy(*alike)
+        .agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+        .select(
+            F.explode("tokens").alias("token"),
+            F.array_join("tokens", OR).alias("item"),
+            "rows",
+            "blocked",
+        )
+    )
+
+
+def _items_of(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """Token sets beside each of their items, once each."""
+    return (
+        sets.select("tokens", F.explode("tokens").alias("token"))
+        .join(items.select("token", "item"), "token")
+        .select("tokens", "item")
+        .distinct()
+    )
+
+
 def mine(
     labelled: DataFrame,
     *,
     min_support: float = 0.005,
     min_confidence: float = 0.7,
-) -> DataFrame:
+) -> Mined:
     """Rules from token combinations to a verdict, found by FP-growth.
 
-    ``labelled`` holds ``tokens`` (distinct) and ``verdict``. Returns rule (number), tokens,
-    verdict, confidence and support. The number of rules depends on ``min_support``, not on
-    the number of URLs. Without labelled rows there are no rules.
+    ``labelled`` holds ``tokens`` (distinct) and ``verdict`` (``allow`` or ``block``). Rules that
+    cannot change a verdict are not mined, as there are exponentially many of them: tokens
+    that always occur together are one item (any of them meets a rule, as each alone has the
+    same support and confidence), and an item whose URLs have one verdict is a rule by itself
+    that no longer rule with it can beat in confidence or support. FP-growth combines the items
+    with both verdicts; its rules double with every such item that occurs with all others and
+    also without them. Without labelled rows there are no rules.
     """
-    baskets = labelled.select(
-        F.concat("tokens", F.array(F.concat(F.lit(MARK), "verdict"))).alias("items")
+    total = labelled.count()
+    items = stored(_items(labelled, min_support * total))
+    told = (F.col("blocked") == 0) | (F.col("blocked") == F.col("rows"))
+    single = items.where(told).select(
+        F.array("item").alias("tokens"),
+        F.when(F.col("blocked") > 0, BLOCK).otherwise(ALLOW).alias("verdict"),
+        F.lit(1.0).alias("confidence"),
+        (F.col("rows") / F.lit(max(1, total))).alias("support"),
+    )
+    mixed = stored(
+        _items_of(labelled.select("tokens").distinct(), items.where(~told))
+        .groupBy("tokens")
+        .agg(F.collect_list("item").alias("items"))
+    )
+    baskets = labelled.join(mixed, "tokens", "left").select(
+        F.concat(
+            F.coalesce("items", F.array().cast("array<string>")),
+            F.array(F.concat(F.lit(MARK), "verdict")),
+        ).alias("items")
     )
     model = FPGrowth(
         itemsCol="items", minSupport=min_support, minConfidence=min_confidence
     ).fit(baskets)
     target = F.col("consequent")[0]
-    told = model.associationRules.where(target.startswith(MARK)).where(
+    grown = model.associationRules.where(target.startswith(MARK)).where(
         ~F.exists("antecedent", lambda t: t.startswith(MARK))
     )
-    rules = told.select(
+    rules = grown.select(
         F.array_sort("antecedent").alias("tokens"),
         F.replace(target, F.lit(MARK), F.lit("")).alias("verdict"),
         "confidence",
         "support",
-    )
-    return stored(
-        rules.withColumn("rule", F.concat_ws(" ", F.col("tokens"), F.col("verdict")))
-    )
+    ).union(single.distinct())
+    rules = rules.withColumn("rule", F.concat_ws(AND, F.col("tokens"), F.col("verdict")))
+    return Mined(stored(rules), items)
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def match(urls: DataFrame, mined: Mined) -> DataFrame:
     """The best rule's verdict for every distinct token set of ``urls`` (column ``tokens``).
 
-    Rules are found by their tokens: an inverted index from token to rule is joined with the
-    tokens of the set, and a rule counts if all its tokens were met. The most confident rule
-    wins, then the best supported, the one of most tokens, ``block`` before ``allow``, and the
+    Rules are found by their items: an inverted index from item to rule is joined with the
+    items of the set, and a rule counts if all its items were met. The most confident rule
+    wins, then the best supported, the one of most items, ``block`` before ``allow``, and the
     text order. Token sets that meet no rule are left out.
     """
-    index = rules.select(
-        F.explode("tokens").alias("token"),
+    index = mined.rules.select(
+        F.explode("tokens").alias("item"),
         "rule",
         F.size("tokens").alias("needed"),
         F.struct(
             "confidence", "support", F.size("tokens").alias("n"), "verdict", "rule"
         ).alias("rank"),
     )
-    sets = urls.select("tokens").distinct()
-    met = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
+    met = _items_of(urls.select("tokens").distinct(), mined.items).join(index, "item")
     whole = (
         met.groupBy("tokens", "rule")
         .agg(F.count("*").alias("met"), F.first("needed").alias("needed"), F.first("rank").alias("rank"))
