@@ -135,3 +135,11 @@ def gram_slots(points: np.ndarray, order: int, bits: int) -> np.ndarray:
         mixed *= np.uint32(0x2C1B3C6D)
     mixed ^= mixed >> np.uint32(13)
     return mixed >> np.uint32(32 - bits)
+
+
+def row_slots(texts: list[str], orders: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
+    """For each text the slots of all its n-grams, with repeats."""
+    points, offsets = code_points(texts)
+    grams = [gram_slots(points, n, bits) for n in orders]
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        yield np.concatenate([g[a : max(a, b - n + 1)] for g, n in zip(grams, orders)])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named
-from .common import code_points, gram_slots, slices, texts_of
+from .common import row_slots, slices, texts_of
 from .linear import Rows, ftrl, softmax, temperature
 
 UNDETERMINED = "und"
@@ -39,21 +39,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / max(1e-12, float(np.sqrt(x @ x)))
 
 
-def _row_slots(texts: list[str], orders: tuple[int, ...], bits: int):
-    """For each text the slots of all its n-grams, with repeats."""
-    points, offsets = code_points(texts)
-    grams = [gram_slots(points, n, bits) for n in orders]
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        yield np.concatenate([g[a : max(a, b - n + 1)] for g, n in zip(grams, orders)])
-
-
 def _document_frequencies(texts: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
     """For every slot the number of texts that hold it; -1 counts all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total, rows = np.zeros(1 << bits, bool), np.zeros(1 << bits, np.int64), 0
         for batch in slices(batches, "text"):
-            for slots in _row_slots(texts_of(batch, "text"), orders, bits):
+            for slots in row_slots(texts_of(batch, "text"), orders, bits):
                 seen[slots] = True
                 total += seen
                 seen[slots] = False
@@ -74,7 +66,7 @@ def _features(rows: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             slots, counts = [], []
-            for found in _row_slots(texts_of(batch, "text"), orders, bits):
+            for found in row_slots(texts_of(batch, "text"), orders, bits):
                 used, each = np.unique(found, return_counts=True)
                 slots.append(used.astype(np.int32).tobytes())
                 counts.append(each.astype(np.int32).tobytes())
@@ -105,15 +97,19 @@ def train(
     """Learns from rows with a text and a language; ``learn_from`` limits them further.
 
     Inverse document frequencies count every such row. The classifier is fitted on about
-    ``rows_per_fit`` rows, an equal share of each language, drawn by a hash of the text; a
-    fifth of them is held back to fit the temperature. None if there is nothing to learn from.
+    ``rows_per_fit`` distinct texts, an equal share of each language, drawn by a hash of the
+    text; a fifth of them is held back to fit the temperature. Copies of a text count once in
+    the draw, so that they neither exceed its bound nor outweigh other texts. Every text is read
+    whole; what is collected of it are its distinct slots, at most ``2 ** bits``. None if there
+    is nothing to learn from.
     """
     text, lang = named(text_column), named(lang_column)
     usable = text.isNotNull() & lang.isNotNull()
     if learn_from is not None:
         usable &= learn_from
     known = docs.where(usable).select(text.alias("text"), lang.alias("lang"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    distinct = F.count_distinct(F.xxhash64("text")).alias("n")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(distinct).collect()}
     if not counts:
         return None
     languages = sorted(counts)
@@ -130,8 +126,9 @@ def train(
     rate = F.create_map(
         *[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_003.0, 1_000_003 * share / n))]
     )
-    sample = known.withColumn("turn", draw).where(F.col("turn") < rate[F.col("lang")])
-    sample = sorted(_features(sample, orders, bits).collect(), key=lambda r: (r["turn"], r["slots"]))
+    drawn = known.withColumn("turn", draw).where(F.col("turn") < rate[F.col("lang")]).distinct()
+    sample = _features(drawn, orders, bits).collect()
+    sample = sorted(sample, key=lambda r: (r["turn"], r["slots"], r["lang"]))
     code = {k: i for i, k in enumerate(languages)}
     labels = np.array([code[r["lang"]] for r in sample], np.int64)
     sparse = []
@@ -174,7 +171,7 @@ def predict(
             langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             lettered = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))]
             if known is not None and lettered:
-                found = _row_slots([texts[i] for i in lettered], known.orders, known.bits)
+                found = row_slots([texts[i] for i in lettered], known.orders, known.bits)
                 for i, slots in zip(lettered, found):
                     p = softmax(known.scores(slots))
                     best = int(p.argmax())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named
-from .common import code_points, gram_slots, slices, stored, texts_of
+from .common import code_points, gram_slots, row_slots, slices, stored, texts_of
 from .linear import Rows, ftrl
 
 
@@ -46,14 +46,16 @@ def _class_counts(rows: DataFrame, orders: tuple[int, ...], bits: int) -> DataFr
     """For every slot the toxic and the clean rows that hold it; slot -1 counts all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.ones(1 << bits, bool)
         found, total = np.zeros((2, 1 << bits), np.int64), np.zeros(2, np.int64)
+        place = np.zeros(1 << bits, np.int64)
         for batch in slices(batches, "text", SLICE):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            row, slot = _present(texts_of(batch, "text"), orders, bits, keep)
-            for y in (0, 1):
-                found[y] += np.bincount(slot[toxic[row] == y], minlength=1 << bits)
-                total[y] += int((toxic == y).sum())
+            for y, slots in zip(toxic, row_slots(texts_of(batch, "text"), orders, bits)):
+                # Of a slot's places in the text one remains written, so each counts once.
+                own = np.arange(len(slots))
+                place[slots] = own
+                found[y, slots[place[slots] == own]] += 1
+                total[y] += 1
         used = np.flatnonzero(found.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(used, -1))]
@@ -92,7 +94,6 @@ def train(
     id_column: str = "doc_id",
     text_column: str = "text",
     label_column: str = "toxic",
-    rows_per_ratio: int = 24_000,
     rows_per_fit: int = 4_000,
     orders: tuple[int, ...] = (3, 4, 5, 6),
     bits: int = 20,
@@ -102,9 +103,9 @@ def train(
 ) -> ToxicityModel | None:
     """Learns from labelled documents; ``learn_from`` is a condition on the labels' id.
 
-    The ratios take about ``rows_per_ratio`` labelled rows at most, half of each class, drawn
-    by a hash of the id and found by a join with the drawn ids, whose number is bounded; the
-    classifier is fitted on about ``rows_per_fit`` of them, drawn alike. A
+    The ratios count every labelled row. The weights are fitted on about ``rows_per_fit`` of
+    them, half of each class, drawn by a hash of the id; what is collected of a text, however
+    long, are its distinct telling slots, at most ``2 ** bits``. A
     slot's ratio is ``log((t / T + s) / (c / C + s))`` for ``t`` of ``T`` toxic and ``c`` of
     ``C`` clean rows that hold it, with ``s = smoothing / (T + C)``; ratios nearer to 0 than
     ``least_ratio`` count as 0. The classifier is logistic on presence times ratio, and its
@@ -124,12 +125,11 @@ def train(
         rates = {y: min(1_000_003.0, 1_000_003 * rows / 2 / n) for y, n in counts.items()}
         return F.col("turn") < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])
 
-    drawn = known.withColumn("turn", draw).where(below(rows_per_ratio))
     read = docs.select(key.alias("id"), F.coalesce(named(text_column), F.lit("")).alias("text"))
-    rows = read.join(F.broadcast(drawn), "id").select("text", "toxic", "turn")
+    rows = read.join(known, "id")
 
     slots = 1 << bits
-    found = stored(_class_counts(rows, orders, bits))
+    found = stored(_class_counts(rows.select("text", "toxic"), orders, bits))
     total = found.where("slot = -1").first()
     if total is None or not total["toxic"] or not total["clean"]:
         return None
@@ -146,7 +146,9 @@ def train(
     ratios = np.zeros(slots)
     ratios[told["slot"].to_numpy()] = told["ratio"].to_numpy()
 
-    sample = _kept_slots(rows.where(below(rows_per_fit)), ratios, orders, bits).collect()
+    drawn = F.broadcast(known.withColumn("turn", draw).where(below(rows_per_fit)))
+    fitted = read.join(drawn, "id").select("text", "toxic", "turn")
+    sample = _kept_slots(fitted, ratios, orders, bits).collect()
     sample = sorted(sample, key=lambda r: (r["turn"], r["toxic"], r["slots"]))
     labels01 = np.array([r["toxic"] for r in sample], np.int64)
     sparse = []

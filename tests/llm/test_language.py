@@ -83,3 +83,21 @@ def test_temperature_cools_overconfident_scores():
     t = linear.temperature(scores, labels)
     assert t > 1
     assert abs(linear.softmax(scores / t).max(axis=1).mean() - 0.8) < 0.02
+
+
+def test_copies_neither_exceed_the_draw_nor_outweigh(spark, monkeypatch):
+    texts = [(k, f"der Hund und die Katze {k}", "de") for k in range(200)]
+    texts += [(k, f"the dog and the cat {k}", "en") for k in range(200, 400)]
+    copies = [(400 + k, "die Katze", "de") for k in range(600)]
+    drawn, features = [], language._features
+
+    def spy(rows, *rest):
+        drawn.append([tuple(r) for r in rows.select("text", "lang").collect()])
+        return features(rows, *rest)
+
+    monkeypatch.setattr(language, "_features", spy)
+    language.train(documents(spark, texts + copies), rows_per_fit=100, bits=12)
+    language.train(documents(spark, texts + copies), rows_per_fit=100_000, bits=12)
+    few, every = drawn
+    assert len(few) == len(set(few)) and 60 < len(few) < 140
+    assert len(every) == len(set(every)) == 401

@@ -69,3 +69,26 @@ def test_held_out_labels_are_never_read(taught):
         model = toxicity.train(docs, given, out, bits=14, smoothing=1.0)
         scores.append([r["score"] for r in toxicity.score(docs, model).orderBy("doc_id").collect()])
     assert scores[0] == scores[1]
+
+
+def test_ratios_count_all_rows_whatever_the_fit_takes(taught, monkeypatch):
+    docs, labels, _ = taught
+    seen, kept = [], toxicity._kept_slots
+
+    def spy(rows, ratios, *rest):
+        seen.append((rows.count(), ratios))
+        return kept(rows, ratios, *rest)
+
+    monkeypatch.setattr(toxicity, "_kept_slots", spy)
+    for rows in (4000, 12):
+        toxicity.train(docs, labels, bits=14, smoothing=1.0, rows_per_fit=rows)
+    (whole, every), (few, same) = seen
+    assert whole == 60 and 0 < few < 30
+    assert (every == same).all() and every.any()
+
+
+def test_a_slot_repeated_in_a_text_counts_once(spark):
+    rows = spark.createDataFrame([("ababab" * 50, 1), ("ab", 0), ("", 0)], "text string, toxic int")
+    found = toxicity._class_counts(rows, (1, 2), 12).collect()
+    assert max(r["toxic"] for r in found) == 1
+    assert {(r["toxic"], r["clean"]) for r in found if r["slot"] == -1} == {(1, 2)}
