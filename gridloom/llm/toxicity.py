@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named
-from .common import code_points, gram_slots, row_slots, slices, stored, texts_of
+from .common import BROADCAST_ROWS, code_points, gram_slots, row_slots, slices, stored, texts_of
 from .linear import Rows, ftrl
 
 
@@ -103,7 +103,8 @@ def train(
 ) -> ToxicityModel | None:
     """Learns from labelled documents; ``learn_from`` is a condition on the labels' id.
 
-    The ratios count every labelled row. The weights are fitted on about ``rows_per_fit`` of
+    The ratios count every labelled row: up to ``BROADCAST_ROWS`` labels go to every task, more
+    meet the texts in a shuffle. The weights are fitted on about ``rows_per_fit`` of
     them, half of each class, drawn by a hash of the id; what is collected of a text, however
     long, are its distinct telling slots, at most ``2 ** bits``. A
     slot's ratio is ``log((t / T + s) / (c / C + s))`` for ``t`` of ``T`` toxic and ``c`` of
@@ -126,7 +127,8 @@ def train(
         return F.col("turn") < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])
 
     read = docs.select(key.alias("id"), F.coalesce(named(text_column), F.lit("")).alias("text"))
-    rows = read.join(known, "id")
+    small = sum(counts.values()) <= BROADCAST_ROWS
+    rows = read.join(F.broadcast(known) if small else known, "id")
 
     slots = 1 << bits
     found = stored(_class_counts(rows.select("text", "toxic"), orders, bits))

@@ -92,3 +92,10 @@ def test_a_slot_repeated_in_a_text_counts_once(spark):
     found = toxicity._class_counts(rows, (1, 2), 12).collect()
     assert max(r["toxic"] for r in found) == 1
     assert {(r["toxic"], r["clean"]) for r in found if r["slot"] == -1} == {(1, 2)}
+
+
+def test_labels_beyond_the_broadcast_find_the_same(taught, monkeypatch):
+    docs, labels, model = taught
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    other = toxicity.train(docs, labels, bits=14, smoothing=1.0)
+    assert (other.weights == model.weights).all() and other.bias == model.bias
