@@ -207,41 +207,76 @@ def _reach(queries: np.ndarray, least: np.ndarray, top: int) -> np.ndarray:
     return np.where(least == NONE, np.inf, np.sqrt(np.maximum(squares, 0.0)))
 
 
-def _scan(pairs: DataFrame, size: int, pivots: int, top: int, k: int) -> DataFrame:
-    """The best ``k`` rows of a block for every query of a group that the block can serve."""
+# Blocks and groups meet by tiles of 2 ** TILE_BITS neighbours each.
+TILE_BITS = 4
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                ids = np.frombuffer(row["ids"], np.int64)
-                vectors = np.frombuffer(row["vectors"], np.int64).reshape(len(ids), size)
-                names = np.frombuffer(row["query_ids"], np.int64)
-                queries = np.frombuffer(row["queries"], np.int64).reshape(len(names), size)
-                apart = np.frombuffer(row["apart"]).reshape(-1, pivots)[:, row["pivot"]]
-                least = np.frombuffer(row["least"], np.int64)
-                nearest = np.maximum(apart - row["high"], row["low"] - apart)
-                live = np.flatnonzero(
-                    nearest <= _reach(queries, least, top) + SLACK * (1 + top**0.5)
-                )
-                if not len(live):
-                    continue
-                scores = _products(queries[live], vectors)
-                found: list[tuple[int, int, int]] = []
-                for i, q in enumerate(live):
-                    fit = np.flatnonzero((scores[i] >= least[q]) & (ids != names[q]))
-                    if len(fit) > k:
-                        bar = np.partition(scores[i, fit], len(fit) - k)[len(fit) - k]
-                        fit = fit[scores[i, fit] >= bar]
-                    best = fit[np.lexsort((ids[fit], -scores[i, fit]))][:k]
-                    found += [(int(names[q]), int(ids[j]), int(scores[i, j])) for j in best]
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64()) for c in zip(*found)],
-                        ["query_id", "vec_id", "score"],
-                    )
 
-    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+def _tiles(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(group, block) pairs by tile: blocks with the groups that want them, and groups.
+
+    Numbers follow the sorted order, so neighbours are close and mostly wanted together. A
+    tile's rows are bounded, whatever the number of pairs.
+    """
+    bundle = F.shiftright("group", TILE_BITS).alias("bundle")
+    shelf = F.shiftright("block", TILE_BITS).alias("shelf")
+    wanted = pairs.groupBy(bundle, shelf, "block").agg(F.collect_set("group").alias("wanted"))
+    return wanted, pairs.select(bundle, shelf, "group").distinct()
+
+
+def _best(names: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's ``k`` highest scores, ties to smaller ids."""
+    order = np.lexsort((ids, -scores, names))
+    starts = np.flatnonzero(np.diff(names[order], prepend=names[order[:1]] - 1))
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order)))
+    return order[rank < k]
+
+
+def _scan(
+    pairs: DataFrame, blocks: DataFrame, groups: DataFrame, size: int, pivots: int, top: int, k: int
+) -> DataFrame:
+    """The best ``k`` rows of a tile's blocks for every query of the groups that want them.
+
+    A block's vectors travel once for all groups of a tile, a group's queries once for all
+    blocks of a tile.
+    """
+
+    def serve(block: dict, group: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        names = np.frombuffer(group["query_ids"], np.int64)
+        queries = np.frombuffer(group["queries"], np.int64).reshape(len(names), size)
+        apart = np.frombuffer(group["apart"]).reshape(-1, pivots)[:, block["pivot"]]
+        least = np.frombuffer(group["least"], np.int64)
+        nearest = np.maximum(apart - block["high"], block["low"] - apart)
+        live = np.flatnonzero(nearest <= _reach(queries, least, top) + SLACK * (1 + top**0.5))
+        if not len(live):
+            return
+        ids = np.frombuffer(block["ids"], np.int64)
+        vectors = np.frombuffer(block["vectors"], np.int64).reshape(len(ids), size)
+        scores = _products(queries[live], vectors)
+        for i, q in enumerate(live):
+            fit = np.flatnonzero((scores[i] >= least[q]) & (ids != names[q]))
+            if len(fit) > k:
+                bar = np.partition(scores[i, fit], len(fit) - k)[len(fit) - k]
+                fit = fit[scores[i, fit] >= bar]
+            if len(fit):
+                best = fit[np.lexsort((ids[fit], -scores[i, fit]))][:k]
+                yield np.full(len(best), names[q]), ids[best], scores[i, best]
+
+    def run(shelf: pa.Table, bundle: pa.Table) -> pa.Table:
+        asking = {row["group"]: row for row in bundle.to_pylist()}
+        found = [
+            part
+            for block in shelf.to_pylist()
+            for group in block["wanted"]
+            for part in serve(block, asking[group])
+        ]
+        columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 3
+        kept = _best(*columns, k)
+        return pa.table([c[kept] for c in columns], ["query_id", "vec_id", "score"])
+
+    wanted, asked = _tiles(pairs)
+    shelves = wanted.join(blocks, "block").groupBy("bundle", "shelf")
+    bundles = asked.join(groups, "group").groupBy("bundle", "shelf")
+    return shelves.cogroup(bundles).applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 def _with_bounds(groups: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -338,8 +373,8 @@ def top_k(
         rings = _rings(groups, pivots, top, home_only)
         shells = blocks.select("block", "pivot", "low", "high")
         pairs = rings.join(shells, "pivot").where("high >= inner and low <= outer")
-        pairs = pairs.select("group", "block")
-        return _scan(pairs.join(blocks, "block").join(groups, "group"), size, pivots, top, k)
+        pairs = stored(pairs.select("group", "block"))
+        return _scan(pairs, blocks, groups, size, pivots, top, k)
 
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     unbound = _with_bounds(groups, groups.sparkSession.createDataFrame([], "query_id long, bound long"))

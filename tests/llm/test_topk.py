@@ -76,6 +76,27 @@ def test_few_or_no_rows(spark):
     assert search(spark, [(0, [1.0]), (2, [2.0])]) == [(0, 1, 2, 2 * 1024 * 1024)]
 
 
+def test_payloads_travel_once_per_tile(spark):
+    wide = 1 << topk.TILE_BITS
+    pairs = spark.range(3 * wide).select(F.col("id").alias("group")).crossJoin(
+        spark.range(2 * wide + 1).select(F.col("id").alias("block"))
+    )
+    wanted, asked = topk._tiles(pairs)
+    assert wanted.count() == 3 * (2 * wide + 1) and asked.count() == 3 * (3 * wide)
+    assert wanted.agg(F.max(F.size("wanted"))).first()[0] == wide
+    # Only listed pairs meet, not all of a tile.
+    few, _ = topk._tiles(pairs.where("group = block"))
+    assert few.agg(F.max(F.size("wanted"))).first()[0] == 1
+
+
+def test_best_of_each_query():
+    names, ids = np.array([2, 1, 2, 2, 1]), np.array([9, 4, 3, 5, 8])
+    kept = topk._best(names, ids, np.array([7, 1, 7, 8, 1]), 2)
+    assert [(int(names[i]), int(ids[i])) for i in kept] == [(1, 4), (1, 8), (2, 5), (2, 3)]
+    empty = np.zeros(0, np.int64)
+    assert len(topk._best(empty, empty, empty, 2)) == 0
+
+
 def test_products_beyond_floating_point_stay_exact():
     big = np.array([[1 << 30, 3], [1 << 30, 5]], np.int64)
     assert topk._products(big, big).tolist() == [
