@@ -21,6 +21,8 @@ SCHEMA = (
     " offset long"
 )
 CACHED_WORDS = 500_000
+# Text bytes encoded at a time: the arrays of a slice are a task's largest.
+ENCODED_BYTES = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -97,7 +99,8 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = words.flatten().dictionary_encode()
         heads, tails = self._codes(coded.dictionary)
-        pool, firsts, sizes = (np.array(a) for a in (self.pool, self.firsts, self.sizes))
+        pool = np.frombuffer(self.pool, np.uint32)
+        firsts, sizes = np.frombuffer(self.firsts, np.int64), np.frombuffer(self.sizes, np.int64)
         codes = coded.indices.to_numpy(zero_copy_only=False)
         parts = np.empty(2 * len(codes), np.int64)
         parts[0::2], parts[1::2] = heads[codes], tails[codes]
@@ -238,7 +241,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
         packer = _Packer(limit, block, linear, quadratic, TaskContext.get().partitionId() << 36)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODED_BYTES):
             ids, bounds = encoder.encode(batch.column("text"), end_id)
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 packer.add(doc, ids[bounds[i] : bounds[i + 1]])
