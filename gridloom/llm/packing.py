@@ -21,8 +21,8 @@ SCHEMA = (
     " offset long"
 )
 CACHED_WORDS = 500_000
-# Text bytes encoded at a time: the arrays of a slice are a task's largest.
-ENCODED_BYTES = 1_000_000
+# Words whose ids are put together at a time: those arrays are a task's largest.
+JOINED_WORDS = 100_000
 
 
 def default_tokenizer() -> str:
@@ -94,22 +94,39 @@ class WordEncoder:
             for names, coded in ((heads, head), (tails, tail))
         )
 
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by ``end_id``, and the offsets of the texts."""
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of runs of texts, each text followed by ``end_id``, and the offsets of its texts.
+
+        Words are looked up for all texts together; a run has about ``JOINED_WORDS`` words and
+        one text at least.
+        """
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = words.flatten().dictionary_encode()
         heads, tails = self._codes(coded.dictionary)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        ends = words.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        at = 0
+        while at < len(texts):
+            beyond = np.searchsorted(ends, ends[at] + JOINED_WORDS, side="right")
+            stop = max(at + 1, int(beyond) - 1)
+            run = ends[at : stop + 1]
+            yield self._joined(heads, tails, codes[run[0] : run[-1]], run - run[0], end_id)
+            at = stop
+
+    def _joined(
+        self, heads: np.ndarray, tails: np.ndarray, codes: np.ndarray, ends: np.ndarray, end_id: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts given as word codes and their offsets."""
         pool = np.frombuffer(self.pool, np.uint32)
         firsts, sizes = np.frombuffer(self.firsts, np.int64), np.frombuffer(self.sizes, np.int64)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
         parts = np.empty(2 * len(codes), np.int64)
         parts[0::2], parts[1::2] = heads[codes], tails[codes]
         each = sizes[parts]
         total = np.concatenate([[0], np.cumsum(each)])
         source = np.repeat(firsts[parts] - total[:-1], each) + np.arange(total[-1])
-        ends = words.offsets.to_numpy().astype(np.int64)
-        ids, bounds = pool[source], total[2 * (ends - ends[0])]
-        return np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+        bounds = total[2 * ends]
+        return np.insert(pool[source], bounds[1:], end_id), bounds + np.arange(len(bounds))
 
 
 def place(
@@ -241,10 +258,11 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
         packer = _Packer(limit, block, linear, quadratic, TaskContext.get().partitionId() << 36)
-        for batch in slices(batches, "text", ENCODED_BYTES):
-            ids, bounds = encoder.encode(batch.column("text"), end_id)
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                packer.add(doc, ids[bounds[i] : bounds[i + 1]])
+        for batch in slices(batches, "text"):
+            docs = iter(batch.column("doc_id").to_pylist())
+            for ids, bounds in encoder.encode(batch.column("text"), end_id):
+                for first, after in zip(bounds[:-1], bounds[1:]):
+                    packer.add(next(docs), ids[first:after])
             if packer.rows:
                 yield _batch(packer)
         packer.finish()

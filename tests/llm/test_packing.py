@@ -68,15 +68,22 @@ def test_digest_is_the_crc_of_little_endian_ids(small):
         assert digest["ids_crc32"] == zlib.crc32(bytes(whole["ids"]))
 
 
-def test_ids_are_the_tokenizers_own(tokenizer):
+@pytest.mark.parametrize("joined", [1, 7, 100_000])
+def test_ids_are_the_tokenizers_own(tokenizer, monkeypatch, joined):
+    monkeypatch.setattr(packing, "JOINED_WORDS", joined)
     encoder = packing.WordEncoder(packing.default_tokenizer())
     rng = random.Random(1)
     letters = list("abzAZ09 \t\n\x0b\x0c\x1c\x85\xa0éÉŸßÿ÷À.,!?;:'\"-_<|>̱́İΣσ漢\U0001f600")
     letters += ["'s", "<|endoftext|>", "<|ENDOFTEXT|>", " the "]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(3000)]
-    ids, bounds = encoder.encode(pa.array([*texts, None]), 2)
-    for i, text in enumerate([*texts, None]):
-        assert list(ids[bounds[i] : bounds[i + 1]]) == expected(tokenizer, text), repr(text)
+    found = [
+        list(ids[first:after])
+        for ids, bounds in encoder.encode(pa.array([*texts, None]), 2)
+        for first, after in zip(bounds[:-1], bounds[1:])
+    ]
+    assert len(found) == len(texts) + 1
+    for ids, text in zip(found, [*texts, None]):
+        assert ids == expected(tokenizer, text), repr(text)
 
 
 def test_largest_pieces_go_to_the_cheapest_sequence():
