@@ -79,16 +79,25 @@ SLICE_LIMIT = 50
 
 @register(
     "slice_limit",
-    f"""SELECT least(count(*), {SLICE_LIMIT}) AS n, least(count(*), {SLICE_LIMIT}) AS members
+    f"""SELECT count(*) AS n, count(*) AS members, least(count(*), {SLICE_LIMIT}) AS shown,
+      least(count(*), {SLICE_LIMIT}) AS shown_members
     FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate BETWEEN '1996-01-01' AND '1996-12-31'""",
 )
 def slice_limit(spark: SparkSession, folder: str) -> DataFrame:
-    """An unordered limit of a slice: how many rows come, whichever, and how many belong to it."""
+    """A whole slice beside an unordered limit of it: how many rows come, how many belong to it."""
     lines = read(spark, folder, "lineitem")
     rows = op.date_slice(lines, "R", "1996-01-01", "1996-12-31", "l_shipdate", "l_returnflag")
     inside = (F.col("l_returnflag") == "R") & (F.year("l_shipdate") == 1996)
-    return tables.preview(rows, SLICE_LIMIT).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("members")
+    tested = [
+        df.select(inside.alias("inside"), F.lit(limited).alias("limited"))
+        for df, limited in ((rows, False), (tables.preview(rows, SLICE_LIMIT), True))
+    ]
+    limited, member = F.col("limited"), F.col("inside")
+    return tested[0].unionAll(tested[1]).agg(
+        F.count_if(~limited).alias("n"),
+        F.count_if(~limited & member).alias("members"),
+        F.count_if(limited).alias("shown"),
+        F.count_if(limited & member).alias("shown_members"),
     )
 
 

@@ -6,6 +6,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from bindings.access import slice_limit
+from bindings.common import SCHEMAS
 from gridloom.operators import access as op
 from gridloom.operators import tables
 from gridloom.plans.export import export_quarters
@@ -283,3 +285,17 @@ def test_unordered_limit_after_filters(spark):
     df = spark.range(100).toDF("x")
     assert tables.preview(df.where("x < 50"), 10).count() == 10
     assert tables.preview(df.where("x < 5"), 10).count() == 5
+
+
+def test_a_slice_is_counted_whole_beside_its_limit(spark, tmp_path):
+    def lines(n, flag, day):
+        return [(k, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, flag, "O", day) for k in range(n)]
+
+    other = lines(70, "N", datetime(1996, 5, 1)) + lines(70, "R", datetime(1997, 5, 1))
+    for n, shown in ((120, 50), (5, 5), (0, 0)):
+        data = lines(n, "R", datetime(1996, 5, 1)) + other
+        df = spark.createDataFrame(data, SCHEMAS["lineitem"]).repartition(3)
+        df.write.parquet(str(tmp_path / f"{n}" / "lineitem.parquet"))
+        found = slice_limit(spark, str(tmp_path / f"{n}"))
+        assert found.columns == ["n", "members", "shown", "shown_members"]
+        assert rows(found) == [(n, n, shown, shown)]
