@@ -174,6 +174,9 @@ def start_year_options(
 
 # Slices --------------------------------------------------------------------------------
 
+# Shares in which rows are dealt out, many more than the tasks of a shuffle.
+PLACES = 1 << 15
+
 
 def plant_records(
     plants: DataFrame,
@@ -227,15 +230,29 @@ def months_of_records(
     return rows.join(years, [plant, "__year"], "left_semi").select(monthly.columns)
 
 
+def _generator_columns(
+    generators: DataFrame, drop: Sequence[str], plant: str, date: str
+) -> DataFrame:
+    kept = [c for c in generators.columns if c not in set(drop) - {plant, date}]
+    return generators.select(*[named(c) for c in kept])
+
+
 def generator_rows(
     generators: DataFrame,
     drop: Sequence[str] = PLANT_LEVEL_COLUMNS,
     plant: str = PLANT,
     date: str = DATE,
 ) -> DataFrame:
-    """Distinct generator rows without the columns that describe the plant."""
-    kept = [c for c in generators.columns if c not in set(drop) - {plant, date}]
-    return generators.select(*[named(c) for c in kept]).distinct()
+    """Distinct generator rows without the columns that describe the plant.
+
+    The rows a task compares are held in its memory, so they are first dealt out by their size,
+    equal ones to one place; the split of a scan may hold very many. The place is no column of
+    theirs, so that Spark may share out a place with many repeats among several tasks.
+    """
+    rows = _generator_columns(generators, drop, plant, date)
+    place = F.pmod(F.hash(*map(named, rows.columns)), F.lit(PLACES)).cast("short")
+    dealt = rows.withColumn("__place", place).hint("rebalance", "__place")
+    return dealt.drop("__place").distinct()
 
 
 def at_records(
@@ -257,9 +274,12 @@ def generator_slice(
 ) -> DataFrame:
     """Distinct generator rows of the given plant records.
 
-    Rows meet the records first, so that only the wanted ones are compared.
+    Rows meet the records first, so that only the wanted ones are compared, where they met.
     """
-    return generator_rows(at_records(generators, records, plant, date), drop, plant, date)
+    if records is None:
+        return generator_rows(generators, drop, plant, date)
+    met = at_records(generators, records, plant, date)
+    return _generator_columns(met, drop, plant, date).distinct()
 
 
 # Summary and cards ---------------------------------------------------------------------
@@ -432,11 +452,12 @@ def facet_options(
     """Options of each facet with their row counts; a missing value is an option too.
 
     A facet without any known value is left out. ``only_option`` marks a facet with one
-    option, which is then chosen from the start. Rows are counted per option first; a facet's
-    options then meet in a window.
+    option, which is then chosen from the start. Rows are counted per option first, those of a
+    key in one task or a few, which then hold few counts; a facet's options then meet in a window.
     """
     keys = list(keys)
-    texts = generators.dropna(subset=keys).select(
+    known = generators.dropna(subset=keys).hint("rebalance", *map(named, keys))
+    texts = known.select(
         *[named(k).alias(f"__key_{k}") for k in keys],
         *[named(f).cast("string").alias(f) for f in facets],
     ).unpivot([f"__key_{k}" for k in keys], list(facets), "facet", "value")

@@ -101,6 +101,30 @@ def test_generators_meet_their_records_before_they_become_distinct(spark):
     assert not re.search(r"hashpartitioning\([^)]*l_partkey#", text)
 
 
+def test_generators_are_compared_and_counted_in_bounded_parts(spark):
+    """Neither the split of a scan nor rows spread by all columns fill a task's groups."""
+    rows = spark.createDataFrame(
+        [(k % 3, "2024-01-01", str(k), f"t{k % 2}", None) for k in [*range(12), 0, 1]],
+        "plant_id_eia int, report_date string, generator_id string, tech string, fuel string",
+    )
+    units = explorer.generator_rows(rows)
+    options = explorer.facet_options(units, ["tech", "fuel"])
+    lines = plan(options).splitlines()
+    # From the result down: the counts of options, the distinct rows, the table.
+    steps = [
+        "group" if "HashAggregate" in x else "deal" if "REBALANCE_PARTITIONS" in x else "shuffle"
+        for x in lines
+        if "HashAggregate" in x or "Exchange hashpartitioning" in x
+    ]
+    counts = ["group", "shuffle", "group", "deal"]
+    assert steps[steps.index("group") :] == counts + counts
+    assert "REBALANCE_PARTITIONS" not in plan(explorer.generator_slice(rows, rows))
+    assert units.count() == 12
+    assert {(r["facet"], r["value"], r["n"]) for r in options.collect()} == {
+        ("tech", "t0", 2), ("tech", "t1", 2)
+    }
+
+
 # These write and read back.
 RUN_AT_ONCE = {
     "csv_export", "csv_by_quarter", "quarterly_slice", "quarterly_counts", "quarterly_one"
